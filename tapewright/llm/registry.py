@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, media, mixing, neighbours, pii, secret_scan, warc
+from tapewright.llm import bpe, jaccard_join, media, mixing, neighbours, pii, secret_scan, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_personal_data": pii.query,
         "op4_mixing": mixing.query,
         "op6_telephony": media.query,
