@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, jaccard_join, media, mixing, neighbours, pii, secret_scan, warc
+from tapewright.llm import bpe, importance, jaccard_join, media, mixing, neighbours, pii, secret_scan, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_jaccard_join": jaccard_join.query,
         "op3_personal_data": pii.query,
         "op4_mixing": mixing.query,
+        "op5_importance": importance.query,
         "op6_telephony": media.query,
         "op7_warc": warc.query,
         "op8_bpe": bpe.query,
