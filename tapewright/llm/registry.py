@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, importance, jaccard_join, media, mixing, neighbours, pii, secret_scan, warc
+import corpus_pipeline
+from tapewright.llm import bpe, importance, jaccard_join, media, mixing, neighbours, passages, pii, secret_scan, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_scan": secret_scan.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_personal_data": pii.query,
@@ -16,6 +18,7 @@ def queries() -> dict:
         "op7_warc": warc.query,
         "op8_bpe": bpe.query,
         "op9_neighbours": neighbours.query,
+        "op10_passages": passages.query,
     }
 
 
