@@ -9,17 +9,25 @@ from pyspark.sql.window import Window
 from tapewright import constants as C
 from tapewright.functions.scalars import over
 
-W = Window.partitionBy("symbol").orderBy("date")
+def sessions():
+    """The window of a symbol's sessions; made on use, as windows need a running session."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def __getattr__(name: str):
+    if name == "W":
+        return sessions()
+    raise AttributeError(name)
 
 
 def back(n: int, end: int = 0):
     """The frame of rows -n .. end."""
-    return W.rowsBetween(-n, end)
+    return sessions().rowsBetween(-n, end)
 
 
 def indexed(df: DataFrame) -> DataFrame:
     """``df`` with i, the 0-based session number of each symbol."""
-    return df.withColumn("i", F.row_number().over(W) - 1)
+    return df.withColumn("i", F.row_number().over(sessions()) - 1)
 
 
 def gated(x: Column, from_i: int) -> Column:
@@ -28,11 +36,11 @@ def gated(x: Column, from_i: int) -> Column:
 
 
 def change(k: int, x: str = "close") -> Column:
-    return over(F.col(x), F.lag(x, k).over(W)) - 1
+    return over(F.col(x), F.lag(x, k).over(sessions())) - 1
 
 
 def log_return(x: str = "close") -> Column:
-    before = F.lag(x).over(W)
+    before = F.lag(x).over(sessions())
     return F.when((F.col(x) > 0) & (before > 0), F.ln(F.when(F.col(x) > 0, F.col(x)) / F.when(before > 0, before)))
 
 
@@ -48,7 +56,7 @@ def bollinger(n: int = 20, width: float = 2.0) -> tuple[Column, Column, Column]:
 
 def rvol(n: int = 20) -> Column:
     """Volume over the mean of the n sessions before."""
-    base = F.avg("volume").over(W.rowsBetween(-n, -1))
+    base = F.avg("volume").over(sessions().rowsBetween(-n, -1))
     return gated(F.when(base > 0, over(F.col("volume"), base)), n)
 
 
@@ -59,7 +67,7 @@ def vwap(n: int = 20) -> Column:
 
 
 def obv() -> Column:
-    step = F.signum(F.col("close") - F.lag("close").over(W)) * F.col("volume")
+    step = F.signum(F.col("close") - F.lag("close").over(sessions())) * F.col("volume")
     return step  # summed by with_running
 
 
@@ -69,7 +77,7 @@ def ad_step() -> Column:
 
 
 def running(step: str) -> Column:
-    return F.coalesce(F.sum(step).over(W.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return F.coalesce(F.sum(step).over(sessions().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
 
 
 def up_down_ratio(n: int = 50) -> Column:
@@ -95,28 +103,28 @@ def annualised_vol(n: int = 60) -> Column:
 
 
 def drawdown() -> Column:
-    peak = F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(sessions().rowsBetween(Window.unboundedPreceding, 0))
     return over(F.col("close"), peak) - 1
 
 
 def momentum(months: int) -> Column:
     """Return over ``months`` that ends a month ago; only the start price is checked."""
-    start = F.lag("close", months * C.MONTH).over(W)
-    return F.when(start > 0, over(F.lag("close", C.MONTH).over(W), start) - 1)
+    start = F.lag("close", months * C.MONTH).over(sessions())
+    return F.when(start > 0, over(F.lag("close", C.MONTH).over(sessions()), start) - 1)
 
 
 def nearness(skip: int = 0) -> Column:
     """Close over the highest high of the trailing year (column ``year_high``), as of ``skip`` sessions ago."""
     x = gated(over(F.col("close"), F.col("year_high")), C.YEAR)
-    return x if not skip else F.lag("near", skip).over(W)
+    return x if not skip else F.lag("near", skip).over(sessions())
 
 
 def forward(h: int) -> Column:
-    return F.when(F.col("close") > 0, over(F.lead("close", h).over(W), F.col("close")) - 1)
+    return F.when(F.col("close") > 0, over(F.lead("close", h).over(sessions()), F.col("close")) - 1)
 
 
 def forward_abs_log(h: int) -> Column:
-    ahead = F.lead("close", h).over(W)
+    ahead = F.lead("close", h).over(sessions())
     return F.when((F.col("close") > 0) & (ahead > 0), F.abs(F.ln(over(ahead, F.col("close")))))
 
 
@@ -165,7 +173,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 def atr(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's mean true range; the first session has none."""
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(sessions())
     df = df.withColumn("_tr", F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))))
     return recursive(df, "_tr", "atr", 1.0 / n, n).drop("_tr")
 

@@ -314,7 +314,7 @@ def _nw_sql(src: str, x: str, lags: int, order: str = "date", by: str = "1", out
 {out} AS (SELECT g, n, mean, CASE WHEN n >= 3 AND var > 0 THEN sqrt(var / n) ELSE 0 END AS se FROM (SELECT a.g, a.n, a.mean, sum(CASE WHEN a.k = b.k THEN 1 ELSE 2 * (1 - (a.k - b.k) / ({lags} + 1.0::DOUBLE)) END * a.d * b.d) / a.n AS var FROM {out}d a JOIN {out}d b ON a.g = b.g AND a.k - b.k BETWEEN 0 AND {lags} GROUP BY a.g, a.n, a.mean))"""
 
 
-@query("calendar_time", O.sql(*_SHOCK_PARTS, _CAL.format(ev="sh", lag=1, h=10), _nw_sql("sp", "spread", 10), body="SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / nullif(se, 0), 5) AS t, (SELECT round(avg(breadth), 6) FROM sp) AS breadth FROM nw"))
+@query("calendar_time", O.sql(*_SHOCK_PARTS, _CAL.format(ev="sh", lag=1, h=10), _nw_sql("sp", "spread", 10), body="SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, coalesce(round(mean / nullif(se, 0), 5), 0) AS t, (SELECT round(avg(breadth), 6) FROM sp) AS breadth FROM nw"))
 def q_calendar_time(spark, sf):
     ev, res = shocks(prepared(spark, sf), T.announcements(spark, sf), 2.0)
     c = calendar_time(ev, res, 10).withColumn("g", F.lit(1))
@@ -338,7 +338,7 @@ def leg_alpha(ev: DataFrame, res: DataFrame, h: int, least: int, lag: int = 1) -
 @query("insider_leg", O.sql(O.BARS, O.FILINGS, _ANCHOR, _RES, """
 ho AS (SELECT DISTINCT ev.symbol, side, rs.date, e FROM ev JOIN rs ON rs.symbol = ev.symbol AND rs.i BETWEEN ev.i + 1 AND ev.i + 21 AND e IS NOT NULL),
 base AS (SELECT date, avg(e) AS a FROM rs WHERE e IS NOT NULL GROUP BY date HAVING count(*) >= 10),
-lx AS MATERIALIZED (SELECT side, date, leg - a AS x, breadth FROM (SELECT side, date, avg(e) AS leg, count(*) AS breadth FROM ho GROUP BY ALL) JOIN base USING (date))""", _nw_sql("lx", "x", 21, by="side"), body="SELECT g AS side, n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / nullif(se, 0), 5) AS t, round((SELECT avg(breadth) FROM lx WHERE side = g), 6) AS breadth, round(mean * 21, 6) AS car FROM nw WHERE n >= 60"))
+lx AS MATERIALIZED (SELECT side, date, leg - a AS x, breadth FROM (SELECT side, date, avg(e) AS leg, count(*) AS breadth FROM ho GROUP BY ALL) JOIN base USING (date))""", _nw_sql("lx", "x", 21, by="side"), body="SELECT g AS side, n, round(mean, 6) AS mean, round(se, 6) AS se, coalesce(round(mean / nullif(se, 0), 5), 0) AS t, round((SELECT avg(breadth) FROM lx WHERE side = g), 6) AS breadth, round(mean * 21, 6) AS car FROM nw WHERE n >= 60"))
 def insider_leg(spark, sf):
     b = prepared(spark, sf)
     leg = leg_alpha(anchored(T.filings(spark, sf), b), residuals(b, market(b)), 21, 10)
@@ -391,7 +391,7 @@ def fraction(f: float) -> F.Column:
 @query("momentum_study", O.sql(O.BARS, _SAMPLE, _SIGNAL, body="""
 , o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom, symbol) AS rn, count(*) OVER (PARTITION BY date) AS n FROM sg),
 x AS (SELECT f, date, avg(fwd) FILTER (rn > n - greatest(1, floor(n * q))) - avg(fwd) FILTER (rn <= greatest(1, floor(n * q))) AS sp FROM o, (VALUES ('tercile', 1 / 3::DOUBLE), ('decile', 0.1::DOUBLE)) t(f, q) WHERE n >= 12 GROUP BY f, date)
-SELECT f AS legs, count(*) AS n, round(avg(sp), 6) AS mean, round(stddev_samp(sp), 6) AS sd, round(avg(sp) / nullif(stddev_samp(sp) / sqrt(count(*)), 0), 5) AS t, round(2 * stddev_samp(sp) / sqrt(count(*)), 6) AS mde, ceil(pow(2 * stddev_samp(sp) / nullif(abs(avg(sp)), 0), 2))::BIGINT AS needed, count(*) FILTER (sp > 0) AS positive FROM x GROUP BY f""").replace("\n\n, o", ",\no"))
+SELECT f AS legs, count(*) AS n, round(avg(sp), 6) AS mean, round(stddev_samp(sp), 6) AS sd, coalesce(round(avg(sp) / nullif(stddev_samp(sp) / sqrt(count(*)), 0), 5), 0) AS t, round(2 * stddev_samp(sp) / sqrt(count(*)), 6) AS mde, ceil(pow(2 * stddev_samp(sp) / nullif(abs(avg(sp)), 0), 2))::BIGINT AS needed, count(*) FILTER (sp > 0) AS positive FROM x GROUP BY f""").replace("\n\n, o", ",\no"))
 def momentum_study(spark, sf):
     s = signals(prepared(spark, sf))
     rows = [spread(s, "mom", ["date"], fraction(q)).where("n >= 12").withColumn("legs", F.lit(n)) for n, q in (("tercile", 1 / 3), ("decile", 0.1))]
@@ -425,7 +425,7 @@ def spearman(spark, sf):
 @query("tom_study", O.sql(O.BARS, SQLTOM := """
 tp AS MATERIALIZED (SELECT symbol, date, r, row_number() OVER (PARTITION BY symbol, date_trunc('month', date) ORDER BY date) AS pos, date_trunc('month', lead(date) OVER (PARTITION BY symbol ORDER BY date)) <> date_trunc('month', date) AS lm, date_trunc('month', date) AS m,
   min(date_trunc('month', date)) OVER (PARTITION BY symbol) AS m0, max(date_trunc('month', date)) OVER (PARTITION BY symbol) AS m1 FROM s),
-tt AS (SELECT symbol, m, avg(r) FILTER (pos <= 3 OR lm) AS a, count(r) FILTER (pos <= 3 OR lm) AS na, avg(r) FILTER (NOT (pos <= 3 OR coalesce(lm, false))) AS b, count(r) FILTER (NOT (pos <= 3 OR coalesce(lm, false))) AS nb FROM tp WHERE m > m0 AND m < m1 GROUP BY ALL)""", body="SELECT symbol, count(*) AS n, round(avg(a - b), 6) AS mean, round(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 5) AS t FROM tt WHERE na >= 2 AND nb >= 5 GROUP BY symbol"))
+tt AS (SELECT symbol, m, avg(r) FILTER (pos <= 3 OR lm) AS a, count(r) FILTER (pos <= 3 OR lm) AS na, avg(r) FILTER (NOT (pos <= 3 OR coalesce(lm, false))) AS b, count(r) FILTER (NOT (pos <= 3 OR coalesce(lm, false))) AS nb FROM tp WHERE m > m0 AND m < m1 GROUP BY ALL)""", body="SELECT symbol, count(*) AS n, round(avg(a - b), 6) AS mean, coalesce(round(avg(a - b) / nullif(stddev_samp(a - b) / sqrt(count(*)), 0), 5), 0) AS t FROM tt WHERE na >= 2 AND nb >= 5 GROUP BY symbol"))
 def tom_study(spark, sf):
     """Paired monthly differences of turn-of-month and other sessions."""
     df = with_month_position(prepared(spark, sf))
@@ -475,7 +475,7 @@ def q_pead_events(spark, sf):
     return places(pead_events(surprises(T.announcements(spark, sf)), prepared(spark, sf), 8), 6, "srank")
 
 
-@query("pead", O.sql(O.BARS, O.ANNOUNCEMENTS, _SURPRISE, _PEAD, _RES, "pu AS (SELECT symbol, i, srank >= 2 / 3::DOUBLE AS up FROM pe WHERE srank >= 2 / 3::DOUBLE OR srank <= 1 / 3::DOUBLE)", _CAL.format(ev="pu", lag=1, h=21), _nw_sql("sp", "spread", 21), body="SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / nullif(se, 0), 5) AS t FROM nw"))
+@query("pead", O.sql(O.BARS, O.ANNOUNCEMENTS, _SURPRISE, _PEAD, _RES, "pu AS (SELECT symbol, i, srank >= 2 / 3::DOUBLE AS up FROM pe WHERE srank >= 2 / 3::DOUBLE OR srank <= 1 / 3::DOUBLE)", _CAL.format(ev="pu", lag=1, h=21), _nw_sql("sp", "spread", 21), body="SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, coalesce(round(mean / nullif(se, 0), 5), 0) AS t FROM nw"))
 def pead(spark, sf):
     b = prepared(spark, sf)
     ev = pead_events(surprises(T.announcements(spark, sf)), b, 8)

@@ -10,7 +10,7 @@ def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
     """symbol, hour, open, high, low, close, n of events with a value. ``late``: watermark of a stream."""
     e = events.where(F.col("value").isNotNull())
     if late:
-        e = e.withWatermark("ts", late)
+        e = e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     order = F.struct("ts", "event_id")
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("symbol")).agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("n"))
     return g.select("symbol", F.col("w.start").alias("hour"), "open", "high", "low", "close", "n")
