@@ -64,17 +64,24 @@ def key(source: Column) -> Column:
     return F.when(source.isNull(), "n:").otherwise(F.concat(F.lit("s:"), source.cast("string")))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs`` with copy (from 1) and mix_key, in a global random order."""
+def mix_rows(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None, seed: int = SEED) -> DataFrame:
+    """_doc (the row of ``docs``, whatever its columns are called), copy (from 1) and mix_key, in a global random order."""
     table = rates(docs.select("source"), weights, target_rows)
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counted = docs.withColumn("source_key", key(F.col("source"))).join(table.select("source_key", "cdf"), "source_key")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
+    doc = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit(""))
+    counted = rows.withColumn("source_key", key(F.col("_doc.source"))).join(table.select("source_key", "cdf"), "source_key")
     times = F.size(F.filter("cdf", lambda c: c < uniform(F.lit(f"count:{seed}"), doc)))
-    copies = counted.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "cdf", "source_key")
+    copies = counted.select("_doc", times.alias("_times")).where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
     mixed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), doc, F.col("copy"))), 1, 13), 16, 10).cast("long"))
     return mixed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
+def mix(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs`` with copy and mix_key, which replace columns of these names."""
+    mixed = mix_rows(docs, weights, target_rows, seed)
+    return mixed.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("copy", "mix_key")), "copy", "mix_key")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the whole mixed corpus, every copy of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")

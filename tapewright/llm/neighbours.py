@@ -132,7 +132,7 @@ class Index:
     """What is fitted on the sample: the router, the number of partitions, and how many a query probes."""
 
     def __init__(self, sample: np.ndarray, k: int, parts: int = PARTITIONS, coverage: float = COVERAGE):
-        self.dim = sample.shape[1] if sample.size else 0
+        self.dim = sample.shape[1]
         while parts > 1 and len(sample) < 64 * parts:
             parts //= 2
         self.parts, self.probes, self.router = parts, 1, None
@@ -161,7 +161,8 @@ def fit(vectors: DataFrame, k: int) -> Index:
     rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).select("v").collect()
     lengths = [len(r.v) for r in rows]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
-    return Index(np.array([r.v for r in rows if len(r.v) == dim], np.float64).reshape(-1, dim), k)
+    same = [r.v for r in rows if len(r.v) == dim]
+    return Index(np.array(same, np.float64).reshape(len(same), dim), k)
 
 
 def routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
