@@ -32,7 +32,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson counts to the target weights of their sources, in a global random order."""
-    return mixing.mix(docs, mixing.WEIGHTS).select(docs.columns)
+    return mixing.mix_rows(docs, mixing.WEIGHTS).select("_doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
