@@ -256,7 +256,7 @@ def residual_vol(spark, sf):
 
 def shocks(bars: DataFrame, ann: DataFrame, threshold: float, cooldown: int = C.COOLDOWN) -> tuple[DataFrame, DataFrame]:
     """Accepted shock events, and the residuals they came from."""
-    res = S.ewma_vol(residuals(bars.withColumn("rvol", S.rvol()), market(bars)), "e")
+    res = S.ewma_vol(residuals(bars.withColumn("rvol", S.rvol()), market(bars)), "e").persist()
     before = F.when(F.lag("i").over(S.W) == F.col("i") - 1, F.lag("vol").over(S.W))
     cand = res.withColumn("z", X.over(F.col("e"), F.when(before > 0, before))).where((F.abs("z") >= threshold) & F.col("rvol").isNotNull())
     cand = cand.withColumn("i", F.col("i").cast("long")).join(blackout(ann, bars).select("symbol", F.col("i").cast("long").alias("i")), ["symbol", "i"], "left_anti")

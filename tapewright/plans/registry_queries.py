@@ -71,8 +71,11 @@ def screen_basic(spark, sf):
 
 
 def index_row(bars: DataFrame, fundamentals: DataFrame) -> DataFrame:
-    """The screening row with snapshot, factor scores, valuation, regime and the expected week, one row a symbol."""
-    vol = S.ewma_vol(bars)
+    """The screening row with snapshot, factor scores, valuation, regime and the expected week, one row a symbol.
+
+    Bars with volatility feed six branches; they are persisted (to disk where memory is short), so lineitem is read once.
+    """
+    bars = vol = S.ewma_vol(bars).persist()
     views = Q.factor_views(bars, fundamentals).select("symbol", "sector", "quote_type", "mom_12_1", "mom_rank", "value_score", "quality_score", "value_trap", "reversal_tension")
     val = Q.valuations(fundamentals).select("symbol", "peer_group", F.col("trailing_pe_percentile").alias("pe_percentile"), "earnings_yield")
     reg = E.regimes(vol).select("symbol", "regime", F.col("percentile").alias("regime_percentile"), F.col("annual_vol").alias("regime_ann_vol"))
