@@ -30,9 +30,13 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
 
 
 def prepared(spark, sf_dir: str) -> DataFrame:
-    """Bars with i, the close's change d and log return r."""
+    """Bars with i, the close's change d and log return r.
+
+    Persisted (to disk where memory is short): bars are small beside the lines they sum up, and stay partitioned by symbol
+    and sorted by date, so that the windows of all that builds on them need no exchange.
+    """
     df = S.indexed(T.bars(spark, sf_dir))
-    return df.withColumn("d", F.col("close") - F.lag("close").over(S.W)).withColumn("r", S.log_return())
+    return df.withColumn("d", F.col("close") - F.lag("close").over(S.W)).withColumn("r", S.log_return()).persist()
 
 
 def last_row(df: DataFrame) -> DataFrame:

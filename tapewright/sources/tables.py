@@ -56,12 +56,12 @@ def _measures(lines: DataFrame, key: str, number) -> DataFrame:
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot for each brand; its sector is the region of its first digit."""
+    """A snapshot for each brand, persisted; its sector is the region of its first digit."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("sector"))
     got = _measures(line.join(part, line.l_partkey == part.p_partkey), "symbol", F.substring("symbol", 7, 2).cast("int"))
-    return got.join(region, F.floor(F.col("k") / 10) - 1 == F.col("r_regionkey"), "left").drop("r_regionkey")
+    return got.join(region, F.floor(F.col("k") / 10) - 1 == F.col("r_regionkey"), "left").drop("r_regionkey").persist()
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,13 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, stamp: the first urgent order of each brand and quarter; odd orders are after the close."""
+    """symbol, stamp: the first urgent order of each brand and quarter, persisted; odd orders are after the close."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     first = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", F.trunc("day", "quarter").alias("quarter")).agg(F.min(F.struct("day", "o_orderkey")).alias("x"))
     hour = F.when(F.col("x.o_orderkey") % 2 == 1, "T16:30:00-05:00").otherwise("T06:00:00-05:00")
-    return first.select("symbol", F.concat(F.col("x.day").cast("string"), hour).alias("stamp"))
+    return first.select("symbol", F.concat(F.col("x.day").cast("string"), hour).alias("stamp")).persist()
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
