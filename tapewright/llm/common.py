@@ -54,6 +54,11 @@ def maybe_broadcast(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to 16 MB, so that long texts don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def arrow_rows(df: DataFrame, inputs: list[str], make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: T.StructType, rows: int = 2000, nbytes: int = 32 << 20) -> DataFrame:
     """Map rows through ``make``, a generator over tuples of ``inputs``.
 
@@ -62,6 +67,7 @@ def arrow_rows(df: DataFrame, inputs: list[str], make: Callable[[Iterator[tuple]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples():
@@ -94,10 +100,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for up to a million words at a time."""
+    """Word -> 64-bit hash, remembered for up to ``MOST`` words at a time (some 30 MB)."""
+
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= self.MOST:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tapewright.llm.common import WordHashes, arrow_rows, materialize, maybe_broadcast, mix64, release, shingle_hashes, words_of
+from tapewright.llm.common import WordHashes, arrow_rows, materialize, maybe_broadcast, mix64, release, shingle_hashes, small_batches, words_of
 from tapewright.llm.graph import components
 
 #: Documents of one list that are compared at once, at most twice as many.
@@ -177,6 +177,7 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
         if keys:
             yield send()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
 
 
