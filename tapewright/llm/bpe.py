@@ -64,7 +64,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -257,6 +257,16 @@ class Bpe:
 
 
 _loaded: dict[str, Bpe] = {}
+_names: dict[str, dict[int, str]] = {}
+
+
+def names(path: str) -> dict[int, str]:
+    """Token strings by id: all that decoding needs."""
+    if path not in _names:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _names[path] = {i: s for s, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+    return _names[path]
 
 
 def load(path: str) -> Bpe:
@@ -281,9 +291,9 @@ def decode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id") -> Dat
     """``id_col``, ids and decoded: the text that the ids stand for."""
 
     def make(rows):
-        bpe = load(vocabulary)
+        spelled = names(vocabulary)
         for key, ids in rows:
-            yield key, ids, bpe.decode(ids)
+            yield key, ids, " ".join(map(spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     return arrow_rows(df, [id_col, "ids"], make, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
