@@ -15,11 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.llm.common import materialize
+
 SEED = 17
 #: Target weights of the production query: the hot source is held to a tenth, two sources are raised, others keep their share.
 WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.05}
-#: Sources that ``weights`` may name; the table of rates stays small enough to be sent to every task.
+#: Sources that ``weights`` may name, and rows of the table of rates up to which it is sent to every task (a kilobyte
+#: each). Beyond it documents meet their rate by source and salt, so that a hot source spreads over ``SALTS`` tasks.
 MOST_WEIGHTS = 10_000
+SALTS = 64
 TAIL = 12
 
 
@@ -66,10 +70,15 @@ def key(source: Column) -> Column:
 
 def mix_rows(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None, seed: int = SEED) -> DataFrame:
     """_doc (the row of ``docs``, whatever its columns are called), copy (from 1) and mix_key, in a global random order."""
-    table = rates(docs.select("source"), weights, target_rows)
+    table = materialize(rates(docs.select("source"), weights, target_rows).select("source_key", "cdf"), "rates")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
     doc = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit(""))
-    counted = rows.withColumn("source_key", key(F.col("_doc.source"))).join(table.select("source_key", "cdf"), "source_key")
+    keyed = rows.withColumn("source_key", key(F.col("_doc.source")))
+    if table.count() <= MOST_WEIGHTS:
+        counted = keyed.join(F.broadcast(table), "source_key")
+    else:
+        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counted = keyed.withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "_salt"])
     times = F.size(F.filter("cdf", lambda c: c < uniform(F.lit(f"count:{seed}"), doc)))
     copies = counted.select("_doc", times.alias("_times")).where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
     mixed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), doc, F.col("copy"))), 1, 13), 16, 10).cast("long"))
