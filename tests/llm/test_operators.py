@@ -311,8 +311,9 @@ def test_compact_windows():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 60, 400):
         for w in (1, 5, 46):
-            x = rng.integers(0, 40, n).astype(np.uint64)
-            assert sorted(zip(*(a.tolist() for a in passages.compact_windows(x, w)))) == brute_windows(x, w)
+            x = rng.integers(0, 40, (3, n)).astype(np.uint64)
+            got = [tuple(a) for a in zip(*(a.tolist() for a in passages.compact_windows(x, w)))]
+            assert sorted(got) == [(k, *t) for k in range(3) for t in brute_windows(x[k], w)]
 
 
 def test_repeated_passages(spark, docs):
