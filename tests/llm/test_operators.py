@@ -325,6 +325,39 @@ def test_repeated_passages(spark, docs):
     assert {8, 9} <= set(out) and not {1, 2, 3, 4, 5, 11, 12, 15, 16, 17} & set(out)
 
 
+def test_every_pair_of_a_meeting_is_compared(monkeypatch):
+    monkeypatch.setattr(passages, "WIDTH", 4)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        docs = [rng.integers(0, 4, rng.integers(4, 30)).astype(np.uint64) for _ in range(5)]
+        rows = []
+        for k, h in enumerate(docs):
+            _, left, mid, right = passages.compact_windows(h[None, :], 4)
+            rows += [(int(h[c]), int(c - l + 1) if l and h[l - 1] == h[c] else 0, k, int(l), int(c), int(r)) for l, c, r in zip(left, mid, right)]
+        group, g, doc, l, c, r = (np.array(x) for x in zip(*sorted(rows)))
+        got = collections.defaultdict(list)
+        for part in passages.block_pairs(group, np.zeros(len(group)), np.zeros(len(group), bool), doc, l, c, r, g):
+            for a, b, d, low, high in zip(*(x.tolist() for x in part)):
+                got[a, b, d].append((low, high))
+        for i in range(len(group)):
+            for j in range(len(group)):
+                d = c[j] - c[i]
+                low, high = max(l[i], l[j] - d), min(r[i], r[j] - d)
+                if group[i] == group[j] and doc[i] < doc[j] and high - low + 1 >= 4:
+                    assert any(s <= low and e >= high for s, e in got[doc[i], doc[j], d])
+
+
+def test_phrases_nested_in_common_ones(spark):
+    common = prose(46, 40).split()
+    rows = [(k, prose(30, 500 + k) + " " + " ".join(common) + " " + prose(30, 700 + k)) for k in range(30)]
+    for k in range(20):
+        shared = " ".join([f"v{k}a", f"v{k}b", *common, f"v{k}c", f"v{k}d"])
+        rows += [(1000 + k, prose(40, 1500 + k) + " " + shared + " " + prose(20, 1700 + k)), (2000 + k, prose(20, 2500 + k) + " " + shared + " " + prose(40, 2700 + k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = {(r.a, r.b) for r in passages.meetings(docs, docs.select("doc_id", F.col("doc_id").alias("rep"))).collect()}
+    assert {(1000 + k, 2000 + k) for k in range(20)} <= met
+
+
 # --- edge cases of all -------------------------------------------------------------------------------
 
 
