@@ -358,6 +358,21 @@ def test_phrases_nested_in_common_ones(spark):
     assert {(1000 + k, 2000 + k) for k in range(20)} <= met
 
 
+def test_families_of_near_copies_meet(spark):
+    rows = []
+    for k in range(80):  # an inserted word splits the minima over two alignments
+        w = prose(60, 300 + k).split()
+        rows += [(9000 + 2 * k, prose(20, 9000 + k) + " " + " ".join(w) + " " + prose(20, 9100 + k)), (9001 + 2 * k, prose(20, 9200 + k) + " " + " ".join([*w[:30], "+", *w[30:]]) + " " + prose(20, 9300 + k))]
+    for f in range(3):
+        passage = prose(60, 60 + f)
+        rows += [(1000 * f + k, prose(20, 7000 + 100 * f + k) + " " + edited(passage, 1, 100 * f + k) + " " + prose(20, 8000 + 100 * f + k)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = {(r.a, r.b) for r in passages.meetings(docs, docs.select("doc_id", F.col("doc_id").alias("rep"))).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(20, len(w) - 24)} for i, t in rows for w in [t.split()]}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near <= met
+
+
 # --- edge cases of all -------------------------------------------------------------------------------
 
 
