@@ -373,6 +373,19 @@ def test_families_of_near_copies_meet(spark):
     assert near <= met
 
 
+def test_near_passages_beside_exact_runs():
+    hashes = lambda words: shingle_hashes(" ".join(words).encode().split(), 5, WordHashes())
+    w = [f"w{k}" for k in range(110)]
+    x, y = hashes(w), hashes([*w[:70], "other", *w[71:]])
+    runs = passages.exact_runs(x, y, 0, 0, len(x) - 1)
+    assert runs == [(0, 66)] and passages.similar_runs(x, y, 0, 0, len(x) - 1, runs) == [(0, 106, 0, 106)]
+    u, v = [f"u{k}" for k in range(90)], [f"v{k}" for k in range(90)]
+    part, gap = [*w[:30], "-", *w[31:60]], [f"z{k}" for k in range(60)]
+    x, y = hashes([*w[:60], *u[:60], *w[60:110]]), hashes([*part, *gap, *w[60:85], "+", *w[86:110]])
+    found = passages.similar_runs(x, y, 0, 0, len(x) - 1, [])
+    assert any(s <= 1 and e >= 55 for s, e, *_ in found) and any(s <= 121 and e >= 165 for s, e, *_ in found)
+
+
 # --- edge cases of all -------------------------------------------------------------------------------
 
 
