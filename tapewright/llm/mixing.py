@@ -2,7 +2,7 @@
 
 A source with share w of the target and m of the N rows is repeated at the mean rate w * target_rows / m. Each
 document's count is the inverse of the Poisson distribution function at a uniform number hashed from the seed and its
-id, so it does not depend on partitions or retries; the document is exploded by its count, and all copies are shuffled
+id, or for rates over ``MOST_RATE`` the sum of such draws of equal smaller rates, so it does not depend on partitions or retries; the document is exploded by its count, and all copies are shuffled
 by a hash of seed, id and copy number, which also orders them inside their partitions.
 
 Null sources form a source of their own; sources without a target weight keep their share of the rows; rows that repeat
@@ -25,6 +25,8 @@ WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.05}
 MOST_WEIGHTS = 10_000
 SALTS = 64
 TAIL = 12
+#: Largest rate of one draw: exp(-rate) becomes 0 at about 745.
+MOST_RATE = 700
 
 
 def uniform(*parts) -> Column:
@@ -36,7 +38,7 @@ def uniform(*parts) -> Column:
 def poisson_cdf(rate: Column) -> Column:
     """ARRAY<DOUBLE>: the distribution function at 0, 1, ... until the rest is below any hashed uniform number.
 
-    Terms are summed in scaled form, starting from exp(-rate), which bounds ``rate`` by about 700.
+    Terms are summed from exp(-rate) on, which bounds ``rate`` by MOST_RATE.
     """
     last = F.ceil(rate + TAIL * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
@@ -49,7 +51,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None) -> DataFrame:
-    """source_key, rate and cdf of every source; one partially aggregated count of all rows."""
+    """source_key, rate, draws and cdf (of a draw) of every source; one partially aggregated count of all rows."""
     if len(weights) > MOST_WEIGHTS or sum(weights.values()) > 1 + 1e-9 or min(weights.values(), default=0) < 0:
         raise ValueError("weights must be at most 10,000 shares with a sum of at most 1")
     spark = docs.sparkSession
@@ -60,7 +62,7 @@ def rates(docs: DataFrame, weights: dict[str, float], target_rows: float | None
     left = F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.col("used"), F.lit(0.0)))
     share = F.coalesce("wanted", left * F.col("n") / F.col("free_rows"))
     rows = F.lit(float(target_rows)) if target_rows else F.col("all_rows").cast("double")
-    return both.crossJoin(F.broadcast(total)).select("source_key", (share * rows / F.col("n")).alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    return both.crossJoin(F.broadcast(total)).select("source_key", (share * rows / F.col("n")).alias("rate")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE).cast("int"))).withColumn("cdf", poisson_cdf(F.col("rate") / F.col("draws")))
 
 
 def key(source: Column) -> Column:
@@ -70,7 +72,7 @@ def key(source: Column) -> Column:
 
 def mix_rows(docs: DataFrame, weights: dict[str, float], target_rows: float | None = None, seed: int = SEED) -> DataFrame:
     """_doc (the row of ``docs``, whatever its columns are called), copy (from 1) and mix_key, in a global random order."""
-    table = materialize(rates(docs.select("source"), weights, target_rows).select("source_key", "cdf"), "rates")
+    table = materialize(rates(docs.select("source"), weights, target_rows).select("source_key", "draws", "cdf"), "rates")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
     doc = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit(""))
     keyed = rows.withColumn("source_key", key(F.col("_doc.source")))
@@ -79,7 +81,10 @@ def mix_rows(docs: DataFrame, weights: dict[str, float], target_rows: float | No
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         counted = keyed.withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "_salt"])
-    times = F.size(F.filter("cdf", lambda c: c < uniform(F.lit(f"count:{seed}"), doc)))
+    below = lambda u: F.size(F.filter("cdf", lambda c: c < u))
+    more = F.transform(F.sequence(F.lit(2), F.col("draws")), lambda k: uniform(F.lit(f"count:{seed}:draw"), k, doc))
+    rest = F.when(F.col("draws") > 1, F.aggregate(more, F.lit(0), lambda n, u: n + below(u))).otherwise(0)
+    times = below(uniform(F.lit(f"count:{seed}"), doc)) + rest
     copies = counted.select("_doc", times.alias("_times")).where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
     mixed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), doc, F.col("copy"))), 1, 13), 16, 10).cast("long"))
     return mixed.repartition("mix_key").sortWithinPartitions("mix_key")

@@ -169,6 +169,13 @@ def test_poisson_inverse(spark):
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("rate", [746, 1000, 30_000])
+def test_mixing_at_large_rates(spark, rate):
+    docs = spark.createDataFrame([(k, "t", "en", "rare") for k in range(40)], "doc_id long, text string, lang string, source string")
+    n = [r["count"] for r in mixing.mix_rows(docs, {"rare": 1.0}, 40 * rate).groupBy("_doc.doc_id").count().collect()]
+    assert len(n) == 40 and abs(np.mean(n) - rate) < 5 * (rate / 40) ** 0.5 and 0.4 * rate < np.var(n) < 2 * rate
+
+
 def test_importance_separates_held_out(spark):
     good = [(k, prose(120, k)) for k in range(200)]
     junk = [(1000 + k, " ".join(w + "###" for w in prose(60, 5000 + k).split())) for k in range(60)]
