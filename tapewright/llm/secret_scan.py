@@ -27,6 +27,9 @@ ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+#: Characters of a candidate at least, and marks that may stand between a credential and its surroundings.
+SHORTEST = 20
+MARKS = "=/.-"
 BASE_KINDS = ("assign", "access", "hex")
 #: Labelled credentials of each format, and plain words.
 PER_FORMAT = 400
@@ -197,18 +200,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE_KINDS.index(s[0]), s[2]))
 
 
+def secret_pieces(text: str, start: int, end: int, base: list[tuple[str, int, int]], models, marks: str = MARKS) -> list[tuple[str, int, int, float]]:
+    """The secrets of text[start:end]: all of it if it passes, with or without the marks at its ends; else those of its pieces
+    around base spans, then of its pieces between each mark in turn. What a base span covers whole adds nothing."""
+    whole = start, end
+    while start < end and text[start] in MARKS:
+        start += 1
+    while start < end and text[end - 1] in MARKS:
+        end -= 1
+    if whole[1] - whole[0] < SHORTEST or any(a <= start and end <= b for _, a, b in base):
+        return []
+    for a, b in dict.fromkeys([whole, (start, end)]):
+        if b - a >= SHORTEST:
+            kind, gain = classify(text[a:b], models)
+            if gain >= GAIN:
+                return [(kind, a, b, round(gain, 6))]
+    inside = [(a, b) for _, a, b in base if a < end and start < b]
+    if inside:
+        pieces, at = [], start
+        for a, b in inside:
+            pieces.append((at, a))
+            at = max(at, b)
+        pieces.append((at, end))
+    else:
+        while marks and text.find(marks[0], start, end) < 0:
+            marks = marks[1:]
+        if not marks:
+            return []
+        cuts = [start - 1, *(k for k in range(start, end) if text[k] == marks[0]), end]
+        pieces, marks = [(a + 1, b) for a, b in zip(cuts, cuts[1:])], marks[1:]
+    return [s for a, b in pieces for s in secret_pieces(text, a, b, base, models, marks)]
+
+
 def scan(text: str, models) -> list[tuple[str, int, int, float]]:
     """All spans by start, then kind as listed, each with its gain. Base spans are scored too and stay whatever their
-    gain; a candidate that overlaps one adds nothing and is left out."""
+    gain; every other candidate is scored, and where it fails, its pieces."""
     base = base_spans(text)
     spans = [(*s, round(classify(text[s[1] : s[2]].lstrip("\"' "), models)[1], 6)) for s in base]
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(m.start() < b and a < m.end() for _, a, b in base):
-            continue
-        kind, gain = classify(word, models)
-        if gain >= GAIN:
-            spans.append((kind, m.start(), m.end(), round(gain, 6)))
+        spans += secret_pieces(text, m.start(), m.end(), [s for s in base if s[1] < m.end() and m.start() < s[2]], models)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

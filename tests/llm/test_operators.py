@@ -82,6 +82,18 @@ def test_redaction_keeps_the_rest():
     assert secret_scan.redact_text(text, models) == "say [SECRET] now" and secret_scan.redact_text("plain words", models) == "plain words"
 
 
+def test_secrets_without_digits_and_beside_base_spans():
+    models = secret_scan.learned()
+    rng = random.Random(9)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24))
+    key, sha = f"sk_live_{letters}", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert secret_scan.redact_text(f"say {key} now", models) == "say [SECRET] now"
+    for token in secret_scan.credentials("github", 5, seed=78) + [key]:
+        for text in (f"/{sha}/{token}", f"/{token}/{sha}", f"a.b={token}", f"see the-old/path.of/{token}."):
+            left = secret_scan.redact_text(text, models)
+            assert token not in left and token[-20:] not in left and sha not in left, text
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
