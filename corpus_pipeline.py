@@ -42,7 +42,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("tokens", tokens)]
 
-#: No SQL for run(): learned models, exact merging and hashes of other libraries are not SQL; see tests/llm/test_pipeline.py.
+#: No SQL for run(): learned models, exact merging and hashes of other libraries are not SQL; test_pipeline in
+#: tests/llm/test_operators.py compares doc_ids only.
 ORACLE_SQL = None
 
 
