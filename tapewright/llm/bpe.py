@@ -298,9 +298,21 @@ def decode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id") -> Dat
     return arrow_rows(df, [id_col, "ids"], make, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ids and decoded in one pass: what ``encode_column`` and ``decode_column`` give one after the other."""
+
+    def make(rows):
+        bpe = load(vocabulary)
+        while some := list(islice(rows, 64)):
+            for (key, _), ids in zip(some, bpe.encode_batch([text for _, text in some])):
+                yield key, ids, bpe.decode(ids)
+
+    return arrow_rows(df, [id_col, text_col], make, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+
+
 def digest_columns(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    back = decode_column(encode_column(docs, vocabulary), vocabulary)
+    back = round_trip(docs, vocabulary)
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

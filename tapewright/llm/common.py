@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,11 +20,18 @@ _OWN_DIR: list[str] = []
 BROADCAST_IDS = 1_000_000
 
 
+#: Bytes of a Parquet row group that a writer holds before it goes to disk.
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Where that is unset: one in the warehouse folder, or,
+    if all runs on this machine, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tapewright"
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tapewright-"))
     return _OWN_DIR[0]
@@ -33,7 +41,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     back = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
     back._tapewright_path = path
     return back
@@ -55,10 +63,32 @@ def maybe_broadcast(ids: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to 16 MB, so that long texts don't add up in a Python worker."""
+    """Hold the session's Arrow batches to 16 MB, so that long texts don't add up in a Python worker. The setting stays:
+    plans read it when they run, which is after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def trim() -> None:
+    """Give freed memory back to the system. Workers are kept for later tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with its memory given back at the end of every task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def arrow_rows(df: DataFrame, inputs: list[str], make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: T.StructType, rows: int = 2000, nbytes: int = 32 << 20) -> DataFrame:
     """Map rows through ``make``, a generator over tuples of ``inputs``.
 
@@ -87,7 +117,7 @@ def arrow_rows(df: DataFrame, inputs: list[str], make: Callable[[Iterator[tuple]
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out, strict=True)], schema=out)
 
-    return df.select(*inputs).mapInArrow(run, schema)
+    return df.select(*inputs).mapInArrow(trimmed(run), schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -116,14 +146,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
-    """64-bit hashes of the ``k``-word shingles in order; with fewer words, of the whole sequence; none without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(h))
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` word hashes."""
     n = len(h) - k + 1
     acc = np.full(n, (k * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
     for j in range(k):
         acc = mix64(acc + h[j : j + n])
     return acc
+
+
+def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
+    """64-bit hashes of the ``k``-word shingles in order; with fewer words, of the whole sequence; none without words."""
+    if not words:
+        return np.empty(0, np.uint64)
+    return shingles(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), min(k, len(words)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import arrow_rows, materialize
+from tapewright.llm.common import arrow_rows, materialize, trimmed
 
 BUCKETS = 1 << 16
 LABELLED = 20_000
@@ -76,7 +76,7 @@ def count_models(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
-    summed = read.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    summed = read.mapInArrow(trimmed(run), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in summed.collect():  # at most BUCKETS rows
         raw[r.bucket], target[r.bucket] = r.raw, r.target

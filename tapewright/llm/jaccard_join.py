@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tapewright.llm.common import WordHashes, arrow_rows, materialize, maybe_broadcast, mix64, release, shingle_hashes, small_batches, words_of
+from tapewright.llm.common import WordHashes, arrow_rows, materialize, maybe_broadcast, mix64, release, shingle_hashes, small_batches, trimmed, words_of
 from tapewright.llm.graph import components
 
 #: Documents of one list that are compared at once, at most twice as many.
@@ -178,12 +178,14 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
             yield send()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "key long, doc_id long")
 
 
 def lists(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """list, size, rep: the distinct lists of documents that meet under a key, by their representatives."""
-    key = keyed(docs, rule).repartition("key")
+    # ids all of whose rows are copies of another id's text need no keys of their own
+    copies = materialize(nodes.where("rep is not null").groupBy("doc_id").agg(F.max(F.col("rep") == F.col("doc_id")).alias("own")).where("not own").select("doc_id"), "copies")
+    key = keyed(docs.join(maybe_broadcast(copies), "doc_id", "left_anti"), rule).repartition("key")
     # equal lists have an equal exclusive or of their members' hashes; lists that share it by chance are compared together
     w = Window.partitionBy("key")
     met = key.select("doc_id", F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("doc_id")).over(w).alias("mark")).where("n > 1")
