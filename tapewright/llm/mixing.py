@@ -2,12 +2,14 @@
 
 A source with share w of the target and m of the N rows is repeated at the mean rate w * target_rows / m. Each
 document's count is the inverse of the Poisson distribution function at a uniform number hashed from the seed and its
-id, or for rates over ``MOST_RATE`` the sum of such draws of equal smaller rates, so it does not depend on partitions or retries; the document is exploded by its count, and all copies are shuffled
-by a hash of seed, id and copy number, which also orders them inside their partitions.
+id, or for rates over ``MOST_RATE`` the sum of such draws of equal smaller rates, so it does not depend on partitions or
+retries; the document is exploded by its count, and all copies are shuffled by a hash of seed, id and copy number, which
+also orders them inside their partitions.
 
 Null sources form a source of their own; sources without a target weight keep their share of the rows; rows that repeat
-an id are replicated alike, each of them; a null id hashes as an empty string; null and empty texts are replicated like
-any other; an empty table gives an empty one.
+an id are replicated alike, each of them; a row without an id is hashed by its text instead; null and empty texts are
+replicated like any other; an empty table gives an empty one. The SQL sums the distribution function from logarithms of
+the probabilities, not by the recurrence used here.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def mix_rows(docs: DataFrame, weights: dict[str, float], target_rows: float | No
     """_doc (the row of ``docs``, whatever its columns are called), copy (from 1) and mix_key, in a global random order."""
     table = materialize(rates(docs.select("source"), weights, target_rows).select("source_key", "draws", "cdf"), "rates")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    doc = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit(""))
+    doc = F.coalesce(F.col("_doc.doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("_doc.text"), F.lit("")))))
     keyed = rows.withColumn("source_key", key(F.col("_doc.source")))
     if table.count() <= MOST_WEIGHTS:
         counted = keyed.join(F.broadcast(table), "source_key")
@@ -107,20 +109,20 @@ def _values() -> str:
 
 
 ORACLE = f"""
-WITH RECURSIVE wanted(source_key, wanted) AS (VALUES {_values()}),
+WITH wanted(source_key, wanted) AS (VALUES {_values()}),
 keyed AS (SELECT doc_id, text, lang, source, CASE WHEN source IS NULL THEN 'n:' ELSE 's:' || source END AS source_key FROM documents),
 counted AS (SELECT source_key, count(*) AS n FROM keyed GROUP BY source_key),
 tied AS (SELECT c.source_key, c.n, w.wanted FROM counted c LEFT JOIN wanted w USING (source_key)),
 total AS (SELECT sum(n)::DOUBLE AS all_rows, sum(CASE WHEN wanted IS NULL THEN n END)::DOUBLE AS free_rows, coalesce(sum(wanted), 0) AS used FROM tied),
 rates AS (SELECT source_key, coalesce(wanted, greatest(0.0::DOUBLE, 1.0::DOUBLE - used) * n / free_rows) * all_rows / n AS rate FROM tied, total),
-terms(source_key, rate, k, term, cdf) AS (
-  SELECT source_key, rate, 0, exp(-rate), exp(-rate) FROM rates
-  UNION ALL
-  SELECT source_key, rate, k + 1, term * rate / (k + 1), cdf + term * rate / (k + 1) FROM terms WHERE k < ceil(rate + {TAIL} * sqrt(rate) + 40)
-),
-cdfs AS (SELECT source_key, list(cdf ORDER BY k) AS cdf FROM terms GROUP BY source_key),
-drawn AS (SELECT d.*, (('0x' || substr(md5('count:{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM keyed d),
-times AS (SELECT d.*, len(list_filter(cdf, lambda c: c < u)) AS n FROM drawn d JOIN cdfs USING (source_key)),
-copies AS (SELECT doc_id, text, lang, source, unnest(range(1, n + 1))::INTEGER AS copy FROM times)
-SELECT doc_id, copy, source, lang, text, ('0x' || substr(md5('order:{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT AS mix_key FROM copies
+drawn AS (SELECT source_key, rate, greatest(1, ceil(rate / {MOST_RATE})::INTEGER) AS draws FROM rates),
+steps AS (SELECT source_key, draws, rate / draws AS lam, unnest(range(0, (ceil(rate / draws + {TAIL} * sqrt(rate / draws) + 40) + 1)::BIGINT)) AS k FROM drawn),
+masses AS (SELECT source_key, draws, k, CASE WHEN lam = 0 THEN (k = 0)::INTEGER::DOUBLE ELSE exp(k * ln(lam) - lam - lgamma(k + 1)) END AS mass FROM steps),
+sums AS (SELECT source_key, draws, k, sum(mass) OVER (PARTITION BY source_key ORDER BY k) AS cdf FROM masses),
+cdfs AS (SELECT source_key, draws, list(cdf ORDER BY k) AS cdf FROM sums GROUP BY source_key, draws),
+named AS (SELECT *, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS doc FROM keyed),
+numbers AS (SELECT n.*, cdf, list_transform(range(1, draws + 1), lambda i: (('0x' || substr(md5(CASE WHEN i = 1 THEN 'count:{SEED}:' || doc ELSE 'count:{SEED}:draw:' || i || ':' || doc END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS us FROM named n JOIN cdfs USING (source_key)),
+times AS (SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(cdf, lambda c: c < u)))) AS n FROM numbers),
+copies AS (SELECT doc_id, doc, text, lang, source, unnest(range(1, n::BIGINT + 1))::INTEGER AS copy FROM times)
+SELECT doc_id, copy, source, lang, text, ('0x' || substr(md5('order:{SEED}:' || doc || ':' || copy), 1, 13))::BIGINT AS mix_key FROM copies
 """
