@@ -1,6 +1,7 @@
 """Operator 9, approximate nearest neighbours by learned partitions.
 
-On a bounded sample (``SAMPLE`` rows, by hash order) the neighbour graph is cut into balanced partitions by recursive
+On a bounded sample (``PER_PARTITION`` rows a partition, by hash order; a partition for each ``ROWS`` rows of the table, up to
+``PARTITIONS``) the neighbour graph is cut into balanced partitions by recursive
 bisection: a spectral order split at its median, then swaps that lower the cut. A small network with one hidden layer
 learns the share of each partition among a vector's neighbours. Every row of the table is indexed under its most
 probable partition; a query goes to its several most probable ones, as many as reach ``COVERAGE`` of the true
@@ -9,8 +10,9 @@ exact cosine in double precision. Partitions are split into blocks of at most ab
 blocks too, so a partition that holds a third of all rows does not meet in one task.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than
-most sample rows have. Null ids take no part. Rows with equal ids are candidates of their own; a query skips all rows
-with its own id. Ties go to the smaller id. With fewer candidates than ``k`` all are returned.
+most sample rows have. Null ids take no part. Rows with equal ids are candidates of their own, but one query, that of the
+smallest vector; a query skips all rows with its own id. Ties go to the smaller id. With fewer candidates than ``k`` all
+are returned. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SAMPLE = 4096
+#: Rows of the table for each partition, sample rows for each, and partitions at least and at most (powers of two).
+ROWS = 1_000
+PER_PARTITION = 256
+FEWEST, PARTITIONS = 16, 64
 GRAPH_K = 10
-PARTITIONS = 16
 HIDDEN = 96
 COVERAGE = 0.97
 BLOCK = 20_000
@@ -131,7 +135,7 @@ class Router:
 class Index:
     """What is fitted on the sample: the router, the number of partitions, and how many a query probes."""
 
-    def __init__(self, sample: np.ndarray, k: int, parts: int = PARTITIONS, coverage: float = COVERAGE):
+    def __init__(self, sample: np.ndarray, k: int, parts: int = FEWEST, coverage: float = COVERAGE):
         self.dim = sample.shape[1]
         while parts > 1 and len(sample) < 64 * parts:
             parts //= 2
@@ -157,12 +161,14 @@ class Index:
 
 
 def fit(vectors: DataFrame, k: int) -> Index:
-    """Fit on at most ``SAMPLE`` rows, those of the smallest hashes. Rows of the sample's commonest length are taken."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).select("v").collect()
+    """Fit on at most ``PER_PARTITION * PARTITIONS`` rows, those of the smallest hashes. Rows of the sample's commonest length are taken."""
+    wanted = max(1, vectors.count() // ROWS)
+    parts = min(PARTITIONS, max(FEWEST, 1 << (wanted.bit_length() - 1)))
+    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(PER_PARTITION * parts).select("v").collect()
     lengths = [len(r.v) for r in rows]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
     same = [r.v for r in rows if len(r.v) == dim]
-    return Index(np.array(same, np.float64).reshape(len(same), dim), k)
+    return Index(np.array(same, np.float64).reshape(len(same), dim), k, parts)
 
 
 def routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
@@ -216,6 +222,7 @@ def nearest(k: int):
 def search(queries: DataFrame, rows: DataFrame, index: Index, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. ``queries`` and ``rows``: vec_id and v of valid vectors."""
     spark = rows.sparkSession
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     homes = routed(rows, index, 1)
     asked = routed(queries, index, index.probes)
     sizes = {r.part: r.n for r in homes.groupBy("part").agg(F.count("*").alias("n")).collect()}
