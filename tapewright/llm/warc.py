@@ -2,12 +2,18 @@
 
 ``write_archives`` makes archives as they are often found: many records in one gzip stream, so that no record can be
 reached without inflating all before it. ``normalise`` inflates each stream once, in pieces, and rewrites every record
-as a gzip member of its own; ``index`` is the sidecar: archive, offset and length of every member. ``read_members``
-takes members out by the sidecar's offsets alone. Archives and sidecars are tables in the shared folder, so they work
-in any store that Spark writes; an archive's size is bounded by ``ARCHIVE_BYTES`` of records, plus one record.
-
-Null html is an empty payload. Rows with equal ids are records of their own; an id may be null: it orders before all
-others. Extra columns are not read. An empty table gives no archives and no rows.
+as a gzip member of its own; an archive's members are stored as rows of about ``CHUNK`` bytes of whole members with their
+offset in it. ``sidecar`` is the offset index, a table of its own with a row a record: archive, offset, length, page_id,
+record_type. ``read_ranges`` takes chosen records out by the sidecar, reading only the rows that hold them;
+``read_members`` reads everything. Archives and sidecars are tables in the shared folder, so they work in any store that
+Spark writes; an archive's size is bounded by ``ARCHIVE_BYTES`` of records, plus one record.
+
+Payloads meet by their digests alone; where the digests that occur more than once are at most ``BROADCAST_DIGESTS``, counted,
+they are sent to every task and pages are not moved at all.
+
+Null html is an empty payload. Rows with equal ids are records of their own: all rows with the largest id of a payload are
+responses. An id may be null: it orders before all others, so null ids alone with a payload are all responses. Extra
+columns are not read. An empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import arrow_rows, materialize
+from tapewright.llm.common import arrow_rows, materialize, release
 
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 1
+#: Bytes that are inflated at once, and of a row of members.
 CHUNK = 1 << 20
-#: Copies of a digest's row when pages look up their response, so that a hot digest's pages spread over many tasks.
-SALTS = 16
+#: Repeated digests (about 50 bytes each) that may be sent to every task. Beyond it pages are shuffled by digest and salt,
+#: a salt for every ``PAGES_A_SALT`` pages of the commonest payload.
+BROADCAST_DIGESTS = 500_000
+PAGES_A_SALT = 10_000
 HEAD_END = b"\r\n\r\n"
 
 
@@ -95,14 +104,20 @@ def records_of(stream: bytes):
 def typed(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers_to: for each page the largest id of those with an equal payload, null for itself.
 
-    The digest table has a row for each payload that occurs more than once, each copied for every salt; pages look theirs
-    up by digest and salt, so that a payload shared by a third of all pages is not joined in one task.
+    A payload that occurs once needs no partner: the digest table has a row only for each that occurs more often.
     """
     pages = pages.select("page_id", "url", "html").withColumn("_sum", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    repeated = pages.groupBy("_sum").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(repeated, ["_sum", "_salt"], "left").select("page_id", "url", "html", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first")).alias("refers_to"))
+    repeated = materialize(pages.groupBy("_sum").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "digests")
+    n, most = repeated.agg(F.count("*"), F.max("_n")).first()
+    if n <= BROADCAST_DIGESTS:
+        joined = pages.join(F.broadcast(repeated.drop("_n")), "_sum", "left")
+    else:
+        salts = -(-most // PAGES_A_SALT)
+        salted = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / PAGES_A_SALT).cast("int") - 1))).drop("_n")
+        few = repeated.select("_sum", F.ceil(F.col("_n") / PAGES_A_SALT).cast("int").alias("_salts")).where("_salts > 1")  # at most a row for every PAGES_A_SALT pages
+        own = pages.withColumn("_all", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        joined = own.join(F.broadcast(few), "_sum", "left").withColumn("_salt", F.coalesce(F.pmod("_all", "_salts"), F.lit(0))).join(salted, ["_sum", "_salt"], "left")
+    return joined.select("page_id", "url", "html", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, min_payload: int = 0) -> DataFrame:
@@ -128,50 +143,75 @@ def write_archives(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     return arrow_rows(typed(pages), ["page_id", "url", "html", "refers_to"], make, schema, rows=1)
 
 
+SPAN = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType())])
+
+
 def normalise(archives: DataFrame) -> DataFrame:
-    """archive, stream, index: each archive with every record as its own gzip member, and the (offset, length) of each."""
+    """archive, start, members, index: each archive with every record as its own gzip member, in rows of about ``CHUNK``
+    bytes that begin at ``start`` of the archive, and the offset, length, page_id and type of each member."""
 
     def make(rows):
         for name, stream in rows:
-            parts, index, at = [], [], 0
+            parts, index, start, at = [], [], 0, 0
             for record in records_of(stream):
+                fields, _ = parse_record(record)
                 squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = squeeze.compress(record) + squeeze.flush()
                 parts.append(member)
-                index.append({"offset": at, "length": len(member)})
+                index.append({"offset": at, "length": len(member), "page_id": id_of(fields["warc-record-id"]), "record_type": fields["warc-type"]})
                 at += len(member)
-            yield name, b"".join(parts), index
+                if at - start >= CHUNK:
+                    yield name, start, b"".join(parts), index
+                    parts, index, start = [], [], at
+            if parts:
+                yield name, start, b"".join(parts), index
 
-    span = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
-    schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("stream", T.BinaryType()), T.StructField("index", T.ArrayType(span))])
+    schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("start", T.LongType()), T.StructField("members", T.BinaryType()), T.StructField("index", T.ArrayType(SPAN))])
     return arrow_rows(archives, ["archive", "stream"], make, schema, rows=1)
 
 
+def sidecar(normal: DataFrame) -> DataFrame:
+    """archive, start, offset, length, page_id, record_type: a row a record. Of ``normal`` only the index column is read."""
+    return normal.select("archive", "start", F.explode("index").alias("at")).select("archive", "start", "at.*")
+
+
+RECORD = T.StructType([
+    T.StructField("page_id", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("payload_bytes", T.LongType()),
+    T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
+])
+
+
 def read_members(normal: DataFrame) -> DataFrame:
-    """One row a record, each member inflated alone at its offset in the sidecar: page_id, payload (null in revisits),
-    payload_bytes, payload_digest, record_type, refers_to. A response whose payload differs from its digest fails."""
+    """One row a record, each member inflated alone at its offset: page_id, payload (null in revisits), payload_bytes,
+    payload_digest, record_type, refers_to. A response whose payload differs from its digest fails."""
 
     def make(rows):
-        for name, stream, index in rows:
+        for name, start, members, index in rows:
             for span in index:
-                fields, block = parse_record(zlib.decompress(stream[span["offset"] : span["offset"] + span["length"]], 31))
+                at = span["offset"] - start
+                fields, block = parse_record(zlib.decompress(members[at : at + span["length"]], 31))
                 kind, total = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and digest(block) != total:
                     raise ValueError(f"{name}: a payload that differs from its digest at {span['offset']}")
                 refers = id_of(fields["warc-refers-to"]) if kind == "revisit" else None
                 yield id_of(fields["warc-record-id"]), block if kind == "response" else None, int(fields["warc-payload-length"]), total, kind, refers
 
-    schema = T.StructType([
-        T.StructField("page_id", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
-    ])
-    return arrow_rows(normal, ["archive", "stream", "index"], make, schema)
+    return arrow_rows(normal, ["archive", "start", "members", "index"], make, RECORD)
+
+
+def read_ranges(normal: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``read_members`` of the records in ``wanted`` alone (rows of the sidecar). Other rows of ``normal`` are skipped by
+    archive and start, and of the rows read only the wanted members are inflated."""
+    spans = wanted.groupBy("archive", "start").agg(F.collect_list(F.struct(*(f.name for f in SPAN))).alias("index"))
+    return read_members(normal.drop("index").join(spans, ["archive", "start"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: archives of all pages, written, normalised, and read back by their sidecars."""
+    """op7: archives of all pages, written, normalised with their sidecar, and read back by its offsets."""
     written = materialize(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "warc")
     normal = materialize(normalise(written), "warc-members")
+    release(written)
+    materialize(sidecar(normal), "warc-sidecar")
     return read_members(normal).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
