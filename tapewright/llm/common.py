@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,25 +128,70 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for up to ``MOST`` words at a time (some 30 MB)."""
-
-    MOST = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case; other letters stay as they are."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Characters between words, and a random number for each byte.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+ODD = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; one word or one text may be longer.
+PIECE = 1 << 18
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ODD and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, odd in enumerate((ODD, pow(ODD, -1, 1 << 64))):
+            _POWERS[k] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n + PIECE, odd, np.uint64)])
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of ``data``, which begins and ends with a space: a polynomial of its bytes, divided by the
+    power of its place."""
+    b = np.frombuffer(data, np.uint8)
+    up, down = powers(len(b))
+    space = SPACE[b]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    total = np.cumsum(BYTES[b] * up, dtype=np.uint64)
+    return start, mix64((total[end - 1] - total[start - 1]) * down[start])
+
+
+def hash_words(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text: what stands between ASCII white space, A-Z in lower case; other letters stay
+    as they are. Texts are hashed together, long ones in pieces cut between words."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    held, ids, size = [], [], 0
+
+    def flush():
+        start, h = _hash_piece(b"\n" + b"\n".join(held) + b"\n")
+        at = np.searchsorted(start, np.cumsum([1] + [len(x) + 1 for x in held]))
+        for k, i in enumerate(ids):
+            out[i].append(h[at[k] : at[k + 1]])
+
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass").lower()
+        while data:
+            cut = len(data)
+            if cut > PIECE:
+                cut = next((k for k in range(PIECE, 0, -1) if SPACE[data[k - 1]]), None) or next((k for k in range(PIECE, len(data)) if SPACE[data[k]]), len(data))
+            held.append(data[:cut]), ids.append(i)
+            size += cut
+            data = data[cut:]
+            if size >= PIECE:
+                flush()
+                held, ids, size = [], [], 0
+    if held:
+        flush()
+    return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``k`` word hashes."""
+    """64-bit hashes of the ``k``-word shingles of a sequence of word hashes, in order; with fewer words, of the whole
+    sequence; none without words."""
+    if not len(h):
+        return h
+    k = min(k, len(h))
     n = len(h) - k + 1
     acc = np.full(n, (k * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
     for j in range(k):
@@ -155,8 +199,15 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-def shingle_hashes(words: list[bytes], k: int, cache: WordHashes) -> np.ndarray:
-    """64-bit hashes of the ``k``-word shingles in order; with fewer words, of the whole sequence; none without words."""
+def hash_shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The shingles of each text, hashed together."""
+    words = hash_words(texts)
     if not words:
-        return np.empty(0, np.uint64)
-    return shingles(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), min(k, len(words)))
+        return []
+    every = shingles(np.concatenate(words), k)
+    begin = np.cumsum([0] + [len(w) for w in words])
+    return [every[at : at + len(w) - k + 1] if len(w) >= k else shingles(w, k) for at, w in zip(begin, words)]
+
+
+def text_shingles(text: str | None, k: int) -> np.ndarray:
+    return shingles(hash_words([text])[0], k)

@@ -23,10 +23,10 @@ doc_id are returned with a null component. Extra columns are not read.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tapewright.llm.common import WordHashes, arrow_rows, materialize, maybe_broadcast, mix64, release, shingle_hashes, small_batches, trimmed, words_of
+from tapewright.llm.common import arrow_rows, hash_shingles, materialize, maybe_broadcast, mix64, release, small_batches, trimmed
 from tapewright.llm.graph import components
 
 #: Documents of one list that are compared at once, at most twice as many.
 BLOCK = 512
+#: Texts that are hashed together.
+TOGETHER = 64
 #: Rows of keys sent to Spark at once.
 SEND = 200_000
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -129,8 +131,9 @@ def fold(words: np.ndarray, length: int) -> np.ndarray:
     return words
 
 
-def token_set(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), k, cache))
+def token_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The distinct shingles of each text."""
+    return [np.unique(h) for h in hash_shingles(texts, k)]
 
 
 def documents_base(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -138,10 +141,9 @@ def documents_base(docs: DataFrame, rule: Rule) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def make(rows):
-        cache = WordHashes()
-        for doc_id, text in rows:
-            s = token_set(text, rule.k, cache)
-            yield (doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch(s).tobytes()) if len(s) else (doc_id, 0, None, None)
+        while some := list(islice(rows, TOGETHER)):
+            for (doc_id, _), s in zip(some, token_sets([text for _, text in some], rule.k)):
+                yield (doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), sketch(s).tobytes()) if len(s) else (doc_id, 0, None, None)
 
     return arrow_rows(docs, ["doc_id", "text"], make, schema)
 
@@ -150,16 +152,15 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, doc_id: every key of every document; of equal sets that one task sees, of the first only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, keys, ids, held = WordHashes(), set(), [], [], 0
+        seen, keys, ids, held = set(), [], [], 0
 
         def send():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids]))], names=["key", "doc_id"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    s = token_set(text, rule.k, cache)
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                for doc_id, s in zip(part.column(0).to_pylist(), token_sets(part.column(1).to_pylist(), rule.k)):
                     if doc_id is None or not len(s):
                         continue
                     digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -271,19 +272,16 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def make(rows):
-        cache, recent = WordHashes(), OrderedDict()
-
-        def get(doc_id, text):
-            s = recent.pop((doc_id, text), None)
-            recent[doc_id, text] = s = token_set(text, rule.k, cache) if s is None else s
-            if len(recent) > 64:
-                recent.popitem(last=False)
-            return s
-
-        for a, b, ta, tb in rows:
-            x, y = get(a, ta), get(b, tb)
-            shared = len(x) + len(y) - len(np.union1d(x, y))
-            yield a, b, bool(len(x) and rule.links(shared, len(x) + len(y)))
+        known = {}
+        while some := list(islice(rows, TOGETHER)):
+            texts = {t for row in some for t in row[2:]}
+            known = {t: s for t, s in known.items() if t in texts}
+            new = [t for t in texts if t not in known]
+            known |= zip(new, token_sets(new, rule.k))
+            for a, b, ta, tb in some:
+                x, y = known[ta], known[tb]
+                shared = len(x) + len(y) - len(np.union1d(x, y))
+                yield a, b, bool(len(x) and rule.links(shared, len(x) + len(y)))
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("link", T.BooleanType())])
     return arrow_rows(both, ["a", "b", "ta", "tb"], make, schema).groupBy("a", "b").agg(F.max("link").alias("link"))
