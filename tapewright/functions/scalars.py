@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapewright import constants as C
+
 
 def clean(x: Column) -> Column:
     """A finite double, or null for null, NaN, infinite and unreadable values."""
@@ -94,3 +96,47 @@ def compact_number(x: Column) -> Column:
     for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         out = F.when(F.abs(x) >= size, F.concat(F.format_number(x / size, 1), F.lit(mark))).otherwise(out)
     return out
+
+
+def compounded(mean: Column, periods: int) -> Column:
+    """A mean return by period as a return over ``periods`` of them."""
+    return F.pow(1 + mean, F.lit(periods)) - 1
+
+
+def matches(symbol: Column, name: Column, term: str) -> Column:
+    """Whether a search term, trimmed and in any case, stands in a symbol or a name; an empty term matches all."""
+    term = term.strip().upper()
+    return F.lit(True) if not term else F.contains(F.upper(symbol), F.lit(term)) | F.contains(F.upper(F.coalesce(name, F.lit(""))), F.lit(term))
+
+
+def fixed_text(x: Column, digits: int = 2) -> Column:
+    """Fixed decimals; a dash for null."""
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def percent_text(x: Column, digits: int = 2) -> Column:
+    return F.when(x.isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", x * 100))
+
+
+def compact_text(x: Column) -> Column:
+    """Two decimals of billions and trillions, one of thousands and millions, none below."""
+    out = F.format_string("%.0f", x)
+    for size, mark, digits in ((1e3, "K", 1), (1e6, "M", 1), (1e9, "B", 2), (1e12, "T", 2)):
+        out = F.when(F.abs(x) >= size, F.format_string(f"%.{digits}f{mark}", x / size)).otherwise(out)
+    return F.when(x.isNull(), "-").otherwise(out)
+
+
+def target_label(target: Column) -> Column:
+    """The name of a macro target; of one without a name, its place and the rest in small letters."""
+    known = F.create_map(*(F.lit(v) for pair in C.TARGETS.items() for v in pair))
+    plain = lambda s: F.lower(F.replace(s, F.lit("_"), F.lit(" ")))
+    other = plain(target)
+    for code, name in reversed(C.PLACES.items()):
+        other = F.when(F.startswith(target, F.lit(code)), F.concat(F.lit(name), plain(F.substring(target, len(code) + 1, 1000)))).otherwise(other)
+    return F.coalesce(F.try_element_at(known, target), other)
+
+
+def rank_sentence(kind: str, value: Column, percentile: Column, group: Column, n: Column, median: Column) -> Column:
+    """One sentence on a ratio's place among its peers."""
+    band = F.when(percentile <= 0.25, "in the cheapest quartile of").when(percentile <= 0.5, "below the median of").when(percentile <= 0.75, "above the median of").otherwise("in the most expensive quartile of")
+    return F.when(percentile.isNull(), f"No comparable {kind}.").otherwise(F.format_string(f"{kind} %.1f is %s its %s peer group (n=%d, median %.1f).", value, band, group, n, median))

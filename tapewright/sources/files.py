@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +63,15 @@ def load_population(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def population_or_fallback(spark: SparkSession, session: str, path: str, fetch) -> DataFrame | None:
-    """The snapshot of this session; else what ``fetch()`` gives, saved; else, if that fails, the old snapshot."""
+    """The snapshot of this session; else what ``fetch()`` gives, saved; else, if that fails in any way, the old snapshot."""
     old = load_population(spark, path)
     if old is not None and old.where(F.col("as_of") == session).limit(1).count():
         return old
     try:
         save_population(fetch(), session, path + ".new")
         return load_population(spark, path + ".new")
-    except OSError:
+    except Exception as failed:  # the reader's, Spark's or the network's
+        warnings.warn(f"population not fetched, the old snapshot stands: {failed}", stacklevel=2)
         return old
 
 
@@ -160,8 +163,8 @@ def require_coverage(wanted: DataFrame, bars: DataFrame, share: float) -> float:
     return got / n
 
 
-#: 51 scheduled meeting days would be listed here by their publisher's calendar; callers pass their own dates.
-def pinned_dates(spark: SparkSession, days: list[str]) -> DataFrame:
+def pinned_dates(spark: SparkSession, days: Sequence[str] = C.MEETINGS) -> DataFrame:
+    """A literal table of days, by default those of rate decisions."""
     return spark.createDataFrame([(d,) for d in days], "d string").select(X.parse_date(F.col("d")).alias("date"))
 
 

@@ -40,9 +40,12 @@ def scalar_ema(x, alpha, n, seed=statistics.mean):
     return out
 
 
-def test_sma_of_a_ramp(spark):
-    got = values(frame(spark, [float(k) for k in range(1, 101)]).withColumn("x", S.sma(5)), "x")
-    assert got[:4] == [None] * 4 and got[4] == 3.0 and got[-1] == 98.0
+@pytest.mark.parametrize("n", [3, 20])
+def test_sma_equals_a_loop(spark, n):
+    x = walk(90, 11)
+    got = values(frame(spark, x).withColumn("x", S.sma(n)), "x")
+    for k, v in enumerate(got):
+        assert v is None if k < n - 1 else abs(v - sum(x[k - n + 1 : k + 1]) / n) < 1e-9
 
 
 @pytest.mark.parametrize("block", [1000, 7])
