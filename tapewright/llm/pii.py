@@ -20,12 +20,17 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Lengths of IBANs by country. Fixed values of the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "PT", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV", 29: "BR|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
 LINEAR = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 #: Cheap tests that any match with a chance must pass.
@@ -130,12 +135,14 @@ def joined(spans: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op3: counts, digest and list of the spans of every whole document."""
+    """op3: counts, digest and list of the spans of every whole document, and their scores in the order of the list."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pii")
     base = F.concat(*(F.col(f"pii.{k}") for k in BASE))
+    every = F.concat(base, *(F.col(f"pii.{k}") for k in ADDED))
     return found.select(
         "doc_id",
         *(F.size(f"pii.{k}").cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.concat(base, *(F.col(f"pii.{k}") for k in ADDED))).alias("spans"),
+        joined(every).alias("spans"),
+        F.array_join(F.transform(every, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -190,6 +191,9 @@ def test_personal_data(spark, docs):
     assert got == want
     added = pii.find_personal_data(docs).where("doc_id = 17").first().pii
     assert len(added.iban) == 1 and len(added.ssn) == 1
+    texts = ["account DE89 3704 0044 0532 0130 00 BIC COBADEFF", "IBAN GB29NWBK60161331926819.", "IBAN DE89370400440532013001", "IBAN NO9386011117947 and FR14 2004 1010 0505 0001 3M02 606.", "xDE89370400440532013000"]
+    got = [[(s.start, s.end, s.score) for s in r.pii.iban] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [[(8, 35, 1.0)], [(5, 27, 1.0)], [], [(5, 20, 1.0), (25, 58, 1.0)], []]
 
 
 # --- 4 ---------------------------------------------------------------------------------------------
@@ -229,6 +233,57 @@ def test_importance_separates_held_out(spark):
     assert sum(r.selected for r in importance.classify(df, lab, k=50).collect()) == 50
 
 
+def scalar_buckets(text):
+    """Hash buckets of all n-grams of 2, 3 and 4 bytes, a number at a time."""
+    data, out = (text or "").encode(), []
+    for n in (2, 3, 4):
+        for k in range(len(data) - n + 1):
+            h = ((int.from_bytes(data[k : k + n], "big") + n) * 0x9E3779B1) % 2**32
+            out.append(((h ^ (h >> 15)) * 0x85EBCA77) % 2**32 >> 16)
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    """Weights, noise and sample from scalar loops; of the labels the operator's own split is taken."""
+    rows = [(k, prose(20, k)) for k in range(30)] + [(100 + k, "#%! " * (k + 3)) for k in range(10)] + [(200, None), (201, ""), (202, "a"), (203, "aé"), (None, "no id"), (5, prose(20, 5))]
+    lab = [(k, 1, 0) for k in range(20)] + [(100 + k, 0, 0) for k in range(6)] + [(25, 1, 1), (26, 1, None), (None, 1, 0), (27, None, 0)]
+    labels = spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    split = {r.doc_id: r for r in importance.sample_labels(labels).collect()}
+    assert set(split) == {i for i, q, _ in lab if i is not None and q is not None} and {i for i, r in split.items() if r.good} == set(range(20)) | {26}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(scalar_buckets(t))
+        if i in split and split[i].good and not split[i].held:
+            target.update(scalar_buckets(t))
+    n, size, m = importance.BUCKETS, sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        p = (raw[b] + 0.5) / (size + 0.5 * n)
+        return math.log((target[b] + 0.2 * p * n) / (m + 0.2 * n)) - math.log(p)
+
+    want = collections.Counter()
+    for i, t in rows:
+        g = scalar_buckets(t)
+        weight = importance.SCALE * sum(map(ratio, g)) / len(g) if g else 0.0
+        want[i, len(g), round(weight, 6), round(weight + importance.noise(i), 6)] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k in (0, 1, 7, len(rows), None):
+        out = importance.classify(frame, labels, k).collect()
+        assert collections.Counter((r.doc_id, r.n_grams, round(r.log_weight, 6), round(r.noisy, 6)) for r in out) == want
+        if k is not None:
+            least = sorted((r.noisy for r in out), reverse=True)[k - 1] if k else math.inf
+            assert all(r.selected == (r.noisy >= least) for r in out)
+
+
+def test_gumbel_noise_samples_by_weight():
+    """The largest of weight plus noise is each document as often as its share of the weights."""
+    weights, wins = [0.0, 1.0, 2.0], collections.Counter()
+    for trial in range(6000):
+        wins[max(range(3), key=lambda i: weights[i] + importance.noise(10 * trial + i))] += 1
+    total = sum(map(math.exp, weights))
+    assert all(abs(wins[i] / 6000 - math.exp(w) / total) < 0.025 for i, w in enumerate(weights))
+
+
 def test_kth_largest_with_ties(spark):
     v = [1.0, 5.0, 5.0, 5.0, 2.0, -3.0, 2.0]
     df = spark.createDataFrame([(x,) for x in v], "noisy double")
@@ -566,6 +621,109 @@ def test_hashes_of_words(monkeypatch):
     assert len(set(name.values())) == len(name)
 
 
+# --- the registered queries against their contracts -----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Small tables with nulls, repeats and odd texts, as the queries read them."""
+    at = tmp_path_factory.mktemp("tables")
+    docs = spark.createDataFrame([(i, t, "en", [None, "src0", "src1"][k % 3], 1) for k, (i, t) in enumerate(ROWS)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2).write.parquet(f"{at}/pages.parquet")
+    rng = np.random.default_rng(4)
+    vec = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((300, 8)))] + [(50, [1.0] * 8), (400, None), (450, [0.0] * 8), (None, [1.0] * 8), (500, [float("inf")] * 8), (550, [1.0, None] + [1.0] * 6)]
+    spark.createDataFrame([(i, v, "x") for i, v in vec], "vec_id long, embedding array<double>, v string").repartition(3).write.parquet(f"{at}/embeddings.parquet")
+    return str(at), vec
+
+
+PAGES = [(k, f"http://x/{k}", [None, "", "<p>a</p>", "é" * 900, f"only {k}"][k % 5]) for k in range(40)] + [(3, "u", "<p>a</p>"), (None, "u", "<p>b</p>"), (None, "u", "<p>b</p>")]
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def test_query_op1(spark, folder):
+    out = secret_scan.query(spark, folder[0]).collect()
+    assert out[0].asDict().keys() == {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"} and len(out) == len(ROWS)
+    patterns = [("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 1), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)]
+    want = collections.Counter()
+    for i, t in ROWS:
+        found = sorted((m.start(), k, m.end(), name) for k, (name, p, least, group) in enumerate(patterns) for m in re.finditer(p, t or "") if len(m[group]) >= least)
+        want[i, *(sum(f[3] == name for f in found) for name, *_ in patterns), sha(",".join(f"{name}:{a}:{b}" for a, _, b, name in found))] += 1
+    assert collections.Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out) == want
+
+
+def test_query_op2(spark, folder):
+    comp, size = brute_components(ROWS, 3, 90, 100)
+    out = jaccard_join.query(spark, folder[0]).collect()
+    assert len(out) == len(ROWS) and all((r.component_id, r.n_shingles) == (comp[r.doc_id], size[r.doc_id]) for r in out if r.doc_id is not None)
+
+
+def test_query_op3(spark, folder):
+    holds = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")), "card": lambda m: 13 <= len(re.sub(r"\D", "", m)) <= 19 and luhn(re.sub(r"\D", "", m)), "phone": lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15}
+    want = collections.Counter()
+    for i, t in ROWS:
+        found = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, t or "") if holds[k](m[0])] for k, p in pii.BASE.items()}
+        want[i, *map(len, found.values()), sha(",".join(sum(found.values(), [])))] += 1
+    out = pii.query(spark, folder[0]).collect()
+    assert collections.Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
+    assert all(len(r.spans.split(",")) == len(r.scores.split(",")) for r in out)
+
+
+def test_query_op6(spark, folder):
+    out = media.query(spark, folder[0]).collect()
+    want = collections.Counter()
+    for i, t in ROWS:
+        data = (t or "").encode()
+        padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        file = media.write_wave(padded, media.codec_for(padded))
+        codec, payload = media.read_wave(file)
+        pcm = media.decode(codec, payload) if codec != "ima_adpcm" else np.array([x for k in range(0, len(payload), 64) for x in scalar_ima(payload[k : k + 64])], np.int16)
+        wide = media.resample(pcm)
+        want[i, len(data), len(padded), sha(padded), zlib.crc32(padded[-64:]), len(file), sha(file), media.features(codec, pcm, wide), zlib.crc32(wide.tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.pcm_crc32) for r in out) == want
+
+
+def test_query_op7(spark, folder):
+    out = warc.query(spark, folder[0]).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == brute_pages([(i, h) for i, _, h in PAGES])
+
+
+def test_query_op8(spark, folder):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    want = collections.Counter()
+    for i, t in ROWS:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False))] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.query(spark, folder[0]).collect()) == want
+
+
+def test_query_op9(spark, folder):
+    good = [(i, np.array(v)) for i, v in folder[1] if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    best = {}
+    for i in {i for i, _ in good if i % 50 == 0}:
+        q = min((v.tolist() for j, v in good if j == i))
+        best[i] = sorted((-float(np.dot(q, v) / math.sqrt(np.dot(q, q) * np.dot(v, v))), j) for j, v in good if j != i)[:5]
+    got = collections.defaultdict(list)
+    for r in neighbours.query(spark, folder[0]).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(best)
+    vectors = collections.defaultdict(list)
+    for j, v in good:
+        vectors[j].append(v)
+    hits = 0
+    for i, rows in got.items():
+        q = np.array(min(v.tolist() for v in vectors[i]))
+        assert [k for k, *_ in sorted(rows)] == [1, 2, 3, 4, 5] and [(-s, j) for _, j, s in sorted(rows)] == sorted((-s, j) for _, j, s in rows)
+        assert all(min(abs(s - float(np.dot(q, v) / math.sqrt(np.dot(q, q) * np.dot(v, v)))) for v in vectors[j]) < 1e-12 and j != i for _, j, s in rows)
+        hits += len({j for _, j, _ in rows} & {j for _, j in best[i]})
+    assert hits >= 0.9 * 5 * len(best)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -584,3 +742,23 @@ def test_pipeline(spark, tmp_path):
     good = set(range(60)) | {200, 201, 202}
     assert good <= kept[0] and len(kept[0] - good) <= 2
     assert kept[1] == kept[0] - {200, 201, 202} and kept[2] == kept[1] and kept[3] <= kept[2] and kept[4] == kept[3]
+
+    from tokenizers import Tokenizer
+
+    lib, models = Tokenizer.from_file(bpe.default_vocabulary()), secret_scan.learned()
+    texts = {i: secret_scan.redact_text(t, models) for i, t, *_ in rows}
+    source = {i: s for i, _, _, s, _ in rows}
+    n = collections.Counter(source[i] for i in kept[2])
+    free = sum(m for s, m in n.items() if s not in mixing.WEIGHTS)
+    left = 1 - sum(w for s, w in mixing.WEIGHTS.items() if s in n)
+    want = collections.Counter()
+    for i in kept[2]:
+        share = mixing.WEIGHTS.get(source[i], left * n[source[i]] / free)
+        rate = share * len(kept[2]) / n[source[i]]
+        u = (int(hashlib.md5(f"count:{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+        times = next(k for k in range(1000) if sum(math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) for j in range(k + 1)) >= u)
+        ids = lib.encode(texts[i], add_special_tokens=False).ids
+        want[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids, skip_special_tokens=False))] += times
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in df.collect())
+    assert got == +want
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == got
