@@ -191,3 +191,65 @@ def replace_block(path: str, start: str, end: str, body: str) -> None:
 def study_json(df: DataFrame) -> str:
     """A study's result rows as JSON; such tables have a few rows."""
     return json.dumps([json.loads(r) for r in df.toJSON().collect()])
+
+
+GRADES = "id string, kind string, realized double, hit boolean, coverage double, ratio double, beat_baseline boolean, exceeded boolean, correct boolean"
+#: Raw names of a fundamentals snapshot: those that are taken as they are, and those that only count if positive. Fixed values of the format.
+SNAPSHOT = {
+    "market_cap": "marketCap", "trailing_eps": "trailingEps", "forward_eps": "forwardEps", "profit_margin": "profitMargins", "revenue_growth": "revenueGrowth", "earnings_growth": "earningsGrowth", "beta": "beta", "enterprise_value": "enterpriseValue",
+    "free_cashflow": "freeCashflow", "operating_cashflow": "operatingCashflow", "return_on_equity": "returnOnEquity", "return_on_assets": "returnOnAssets", "operating_margin": "operatingMargins", "gross_margin": "grossMargins", "total_debt": "totalDebt",
+    "total_cash": "totalCash", "avg_volume_3m": "averageVolume", "shares_outstanding": "sharesOutstanding", "fifty_two_week_high": "fiftyTwoWeekHigh", "fifty_two_week_low": "fiftyTwoWeekLow",
+}
+POSITIVE = {"trailing_pe": "trailingPE", "forward_pe": "forwardPE", "price_to_book": "priceToBook", "price_to_sales": "priceToSalesTrailing12Months", "ev_ebitda": "enterpriseToEbitda"}
+
+
+def read_bars(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """symbol, date, open, high, low, close, volume of a Parquet or CSV table of those columns, in any case.
+
+    Rows without a close are dropped; an open, high or low that is missing or 0 becomes the close, a missing volume 0.
+    """
+    raw = spark.read.csv(path, header=True) if kind == "csv" else spark.read.format(kind).load(path)
+    have = {c.strip().lower(): F.col(f"`{c}`") for c in raw.columns}
+    close = X.clean(have["close"])
+    price = lambda c: X.or_else(X.clean(have[c]), close).alias(c) if c in have else close.alias(c)
+    volume = F.coalesce(X.clean(have["volume"]), F.lit(0.0)) if "volume" in have else F.lit(0.0)
+    return raw.select(X.normalise_symbol(have["symbol"]).alias("symbol"), have["date"].cast("date").alias("date"), price("open"), price("high"), price("low"), close.alias("close"), volume.alias("volume")).where("close is not null and date is not null")
+
+
+def read_fundamentals(spark: SparkSession, path: str) -> DataFrame:
+    """A row a symbol of a JSON-lines snapshot in its source's names. Debt to equity comes in percent; so does the dividend
+    yield where the trailing one is missing. What is absent is null."""
+    names = ["symbol", "shortName", "longName", "sector", "industry", "quoteType", "trailingPegRatio", "pegRatio", "trailingAnnualDividendYield", "dividendYield", "debtToEquity", *SNAPSHOT.values(), *POSITIVE.values()]
+    raw = spark.read.schema(", ".join(f"`{n}` string" for n in dict.fromkeys(names))).json(path)
+    num = lambda c: X.clean(F.col(c))
+    return raw.select(
+        "symbol", F.coalesce(F.nullif("shortName", F.lit("")), "longName").alias("name"), "sector", "industry", F.col("quoteType").alias("quote_type"),
+        *(num(c).alias(n) for n, c in SNAPSHOT.items()), *(X.positive(F.col(c)).alias(n) for n, c in POSITIVE.items()),
+        X.or_else(num("trailingPegRatio"), num("pegRatio")).alias("peg_ratio"), F.coalesce(num("trailingAnnualDividendYield"), num("dividendYield") / 100).alias("dividend_yield"), (num("debtToEquity") / 100).alias("debt_to_equity"),
+    ).where("symbol is not null")
+
+
+def read_announcements(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, stamp, ex_dividend of JSON lines with a list of stamps; one row a distinct stamp, one with a null stamp where none is listed."""
+    raw = spark.read.schema("symbol string, earnings_dates array<string>, ex_dividend string").json(path).where("symbol is not null")
+    return raw.select("symbol", F.explode_outer(F.array_sort(F.array_distinct("earnings_dates"))).alias("stamp"), X.parse_date(F.col("ex_dividend")).alias("ex_dividend"))
+
+
+def read_all(spark: SparkSession, folder: str, wanted: DataFrame) -> dict[str, DataFrame]:
+    """Bars, fundamentals and announcements of the wanted symbols, and which of them have no bars."""
+    own = lambda df: df.join(wanted.select("symbol").distinct(), "symbol", "left_semi")
+    bars = own(read_bars(spark, f"{folder}/bars"))
+    return {"bars": bars, "fundamentals": own(read_fundamentals(spark, f"{folder}/fundamentals")), "announcements": own(read_announcements(spark, f"{folder}/announcements")), "failures": failures(wanted, bars)}
+
+
+def grades(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(GRADES).json(path)
+
+
+def merge_tier(current: DataFrame, tier: str, symbols: DataFrame, replace: bool = False) -> DataFrame:
+    """tier, symbol, pos with new symbols (symbol, pos) added to a tier behind those it has, or in their place. A symbol stays
+    in the first tier that names it."""
+    kept = current.where(~((F.col("tier") == tier) & F.lit(replace))).select("tier", "symbol", F.lit(0).alias("_new"), F.col("pos").cast("long").alias("pos"))
+    both = kept.unionByName(symbols.select(F.lit(tier).alias("tier"), "symbol", F.lit(1).alias("_new"), F.col("pos").cast("long").alias("pos")))
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy("symbol").orderBy("_new", "pos"))).where("_r = 1")
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy("tier").orderBy("_new", "pos")) - 1).select("tier", "symbol", "pos")
