@@ -33,17 +33,17 @@ def clustered(df: DataFrame, x: str, by: list[str], date: str = "date") -> DataF
     return g.select(*by, "mean", se.alias("se"), F.coalesce(over(F.col("mean"), se), F.lit(0.0)).alias("t"), "dates")
 
 
-def newey_west(df: DataFrame, x: str, lags: int, by: list[str], order: str = "date") -> DataFrame:
+def newey_west(df: DataFrame, x: str, lags: int | Column, by: list[str], order: str = "date") -> DataFrame:
     """n, mean, se, t of an autocorrelated series, Bartlett kernel, autocovariances over n.
 
     Deviations meet their ``lags`` predecessors by exploded positions and one equi-join, as a window would need a
-    column for each lag. Under three values or without variance, se and t are 0.
+    column for each lag. ``lags`` may be one of the columns ``by``. Under three values or without variance, se and t are 0.
     """
     part = Window.partitionBy(*by)
     s = df.where(F.col(x).isNotNull()).select(*by, (F.row_number().over(part.orderBy(order)) - 1).alias("k"), (F.col(x) - F.avg(x).over(part)).alias("d"), F.avg(x).over(part).alias("mean"), F.count(x).over(part).alias("n"))
-    later = s.select(*by, "n", "mean", "d", F.col("k").alias("_k"), F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), F.col("n").cast("int") - 1))).alias("lag")).withColumn("k", F.col("_k") - F.col("lag"))
+    later = s.select(*by, "n", "mean", "d", F.col("k").alias("_k"), F.explode(F.sequence(F.lit(0), F.least(F.lit(lags).cast("int"), F.col("n").cast("int") - 1))).alias("_lag")).withColumn("k", F.col("_k") - F.col("_lag"))
     pairs = later.join(s.select(*by, "k", F.col("d").alias("d0")), [*by, "k"])
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("lag") / (lags + 1.0)))
+    weight = F.when(F.col("_lag") == 0, 1.0).otherwise(2.0 * (1.0 - F.col("_lag") / (lags + 1.0)))
     g = pairs.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sum(weight * F.col("d") * F.col("d0")) / F.first("n")).alias("var"))
     ok = (F.col("var") > 0) & (F.col("n") >= 3)
     se = F.when(ok, F.sqrt(F.col("var") / F.col("n"))).otherwise(0.0)

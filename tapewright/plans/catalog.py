@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.plans import cross_queries, event_queries, registry_queries, series_queries, study_queries
+from tapewright.plans import battery_queries, cross_queries, event_queries, registry_queries, series_queries, study_queries
 
-_MODULES = (series_queries, cross_queries, event_queries, registry_queries, study_queries)
+_MODULES = (series_queries, cross_queries, event_queries, registry_queries, study_queries, battery_queries)
 
 
 def queries() -> dict:

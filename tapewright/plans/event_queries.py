@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -224,8 +226,12 @@ def market(bars: DataFrame) -> DataFrame:
 
 
 def residuals(bars: DataFrame, mkt: DataFrame) -> DataFrame:
-    """Bars with e: the log return less beta times the market's, beta over the 252 pairs before. Null without a full window."""
-    pairs = bars.where("r is not null").join(mkt, "date")
+    """Bars with e: the log return less beta times the market's, beta over the 252 pairs before. Null without a full window.
+
+    The market has a row a session (about 250 a year, 16 bytes each), whatever the number of symbols; it is sent to every
+    task, so that bars stay partitioned by symbol.
+    """
+    pairs = bars.where("r is not null").join(F.broadcast(mkt), "date")
     w = S.W.rowsBetween(-C.BETA_WINDOW, -1)
     beta = F.regr_slope("r", "x").over(w)
     return pairs.withColumn("_n", F.count("*").over(w)).withColumn("beta", beta).withColumn("e", F.when(F.col("_n") == C.BETA_WINDOW, F.col("r") - F.col("beta") * F.col("x"))).drop("_n")
@@ -296,12 +302,15 @@ def shock_car(spark, sf):
     return places(places(c, 6, "mean", "se"), 5, "t")
 
 
-def calendar_time(ev: DataFrame, res: DataFrame, h: int, lag: int = 1) -> DataFrame:
-    """date, spread, breadth: mean residual of the up leg less the down leg; each name once a session; both legs present."""
-    held = A.holding(ev.select("symbol", "i", "up"), lag, h).select("symbol", "j", "up").distinct()
+def calendar_time(ev: DataFrame, res: DataFrame, h: int | Column, lag: int | Column = 1, by: Sequence[str] = ()) -> DataFrame:
+    """date, spread, breadth: mean residual of the up leg less the down leg; each name once a session; both legs present.
+
+    With ``by``, each cell has its own series; ``h`` and ``lag`` may be columns of it.
+    """
+    held = A.holding(ev.select("symbol", "i", "up", *by), lag, h).select("symbol", "j", "up", *by).distinct()
     on = held.join(res.where("e is not null").select("symbol", F.col("i").cast("long").alias("j"), "date", "e"), ["symbol", "j"])
-    g = on.groupBy("date").agg(F.avg(F.when(F.col("up"), F.col("e"))).alias("u"), F.avg(F.when(~F.col("up"), F.col("e"))).alias("d"), (F.count("*") / 2).alias("breadth"))
-    return g.where("u is not null and d is not null").select("date", (F.col("u") - F.col("d")).alias("spread"), "breadth")
+    g = on.groupBy(*by, "date").agg(F.avg(F.when(F.col("up"), F.col("e"))).alias("u"), F.avg(F.when(~F.col("up"), F.col("e"))).alias("d"), (F.count("*") / 2).alias("breadth"))
+    return g.where("u is not null and d is not null").select(*by, "date", (F.col("u") - F.col("d")).alias("spread"), "breadth")
 
 
 _CAL = """
@@ -325,13 +334,16 @@ def q_calendar_time(spark, sf):
 # --- event studies ------------------------------------------------------------------------------
 
 
-def leg_alpha(ev: DataFrame, res: DataFrame, h: int, least: int, lag: int = 1) -> DataFrame:
-    """Daily mean residual of names with a live window, less the mean of the whole universe, Newey-West at ``h``."""
+def leg_alpha(ev: DataFrame, res: DataFrame, h: int | Column, least: int, lag: int | Column = 1, by: Sequence[str] = ("side",)) -> DataFrame:
+    """Daily mean residual of names with a live window, less the mean of the whole universe, Newey-West at ``h``.
+
+    Each cell of ``by`` has its own series; ``h`` and ``lag`` may be columns of it.
+    """
     base = res.where("e is not null").groupBy("date").agg(F.avg("e").alias("all"), F.count("*").alias("names")).where(F.col("names") >= least)
-    held = A.holding(ev.select("symbol", "i", "side"), lag, h).select("symbol", "j", "side").distinct()
-    leg = held.join(res.where("e is not null").select("symbol", F.col("i").cast("long").alias("j"), "date", "e"), ["symbol", "j"]).groupBy("side", "date").agg(F.avg("e").alias("leg"), F.count("*").alias("breadth"))
+    held = A.holding(ev.select("symbol", "i", *by), lag, h).select("symbol", "j", *by).distinct()
+    leg = held.join(res.where("e is not null").select("symbol", F.col("i").cast("long").alias("j"), "date", "e"), ["symbol", "j"]).groupBy(*by, "date").agg(F.avg("e").alias("leg"), F.count("*").alias("breadth"))
     both = leg.join(base, "date").withColumn("x", F.col("leg") - F.col("all"))
-    fit = ST.newey_west(both, "x", h, ["side"]).join(both.groupBy("side").agg(F.avg("breadth").alias("breadth")), "side")
+    fit = ST.newey_west(both, "x", h, list(by)).join(both.groupBy(*by).agg(F.avg("breadth").alias("breadth")), list(by))
     return fit.where("n >= 60").withColumn("car", F.col("mean") * h)
 
 

@@ -320,7 +320,12 @@ def hourly_bars(spark, sf):
     return hourly(T.table(spark, sf, "events")).select("symbol", "hour", "open", "high", "low", "close", "n")
 
 
-@query("damped_forecast")
+@query("damped_forecast", O.sql(O.BARS, """
+mo AS (SELECT symbol, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
+ml AS (SELECT symbol, month, close, row_number() OVER (PARTITION BY symbol ORDER BY month DESC) - 2 AS age, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY month)) AS r FROM mo),
+mf AS (SELECT symbol, max(month) AS last_month, arg_max(close, month) AS last, avg(r) AS mu, sqrt(sum(pow(0.97::DOUBLE, age) * r * r) / sum(pow(0.97::DOUBLE, age)) FILTER (r IS NOT NULL)) AS vol FROM ml WHERE age >= 0 GROUP BY symbol HAVING count(*) >= 24),
+mh AS (SELECT *, mu * list_sum(list_transform(range(1, horizon + 1), lambda k: pow(0.92::DOUBLE, k))) AS drift, 1.6449::DOUBLE * vol * sqrt(horizon) AS half FROM mf, (VALUES (3), (6), (12)) t(horizon))""", body="""
+SELECT symbol, horizon, last_month, round(last * exp(drift), 4) AS point, round(last * exp(drift - half), 4) AS low, round(last * exp(drift + half), 4) AS high FROM mh"""))
 def damped_forecast(spark, sf):
     """Textbook damped drift of monthly closes at 3, 6 and 12 months; no published formula to match."""
     from tapewright.plans.forecast import forecast

@@ -376,6 +376,12 @@ def meeting_cells(bars: DataFrame, meetings: DataFrame) -> DataFrame:
     return ST.welch(long.where("member OR quiet"), "ret", F.col("member"), ["symbol", "cell"])
 
 
+def third_wednesdays(bars: DataFrame) -> DataFrame:
+    """Stand-in meeting days over the months of the bars: third Wednesdays of eight months a year."""
+    months = bars.select(F.trunc("date", "MM").alias("m")).distinct().where(F.month("m").isin(1, 3, 5, 6, 7, 9, 11, 12))
+    return months.select(F.date_add(F.next_day(F.date_sub("m", 1), "WED"), 14).alias("date"))
+
+
 _MEET = """
 me AS (SELECT DISTINCT m + ((10 - isodow(m)) % 7 + 14)::INT AS date FROM (SELECT DISTINCT date_trunc('month', date)::DATE AS m FROM bars) WHERE month(m) IN (1, 3, 5, 6, 7, 9, 11, 12)),
 d0 AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM s),
@@ -391,9 +397,7 @@ FROM (SELECT symbol, ret, quiet, unnest([struct_pack(cell := 't-1', m := be), st
 def q_meeting_cells(spark, sf):
     """With meetings on third Wednesdays of eight months, as the pinned calendar begins after these bars."""
     b = prepared(spark, sf)
-    m = F.trunc("date", "MM")
-    days = b.select(m.alias("m")).distinct().where(F.month("m").isin(1, 3, 5, 6, 7, 9, 11, 12)).select(F.date_add(F.next_day(F.date_sub("m", 1), "WED"), 14).alias("date"))
-    return E.places(E.places(meeting_cells(b, days), 6, "diff"), 4, "t")
+    return E.places(E.places(meeting_cells(b, third_wednesdays(b)), 6, "diff"), 4, "t")
 
 
 # --- labels, sentences, search, order ---------------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 from tapewright.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUICK = ["bars_daily", "bar_coercion", "volume_analytics", "returns", "ema", "atr", "valuation_ranks", "deciles", "asof_strict", "reaction_sessions", "blackout", "tom_study", "history_dedupe", "form4_merge", "set_operations", "signals_top3", "hourly_bars", "scalar_rules", "screen_basic", "upcoming", "payload_series", "claims_event", "grades_event", "claims_regime", "grades_regime", "grades_book", "scoreboard_kinds", "registry_log", "performance_matched", "performance_ewma", "meeting_cells", "target_labels", "number_formats", "rank_sentences", "population_members", "filing_cache"]
+QUICK = ["bars_daily", "bar_coercion", "volume_analytics", "returns", "ema", "atr", "valuation_ranks", "deciles", "asof_strict", "reaction_sessions", "blackout", "tom_study", "history_dedupe", "form4_merge", "set_operations", "signals_top3", "hourly_bars", "scalar_rules", "screen_basic", "upcoming", "payload_series", "claims_event", "grades_event", "claims_regime", "grades_regime", "grades_book", "scoreboard_kinds", "registry_log", "performance_matched", "performance_ewma", "meeting_cells", "target_labels", "number_formats", "rank_sentences", "population_members", "filing_cache", "upcoming_macro", "damped_forecast", "macro_movers", "pead_battery", "insider_split", "crash_assessment"]
 
 
 def plain(v):
