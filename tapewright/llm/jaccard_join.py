@@ -12,9 +12,10 @@ partner); the others also meet by their pairs of empty blocks, of which two such
 that they share. Members of equal lists of documents are compared once.
 
 Comparison. In each list, by blocks of at most 2 * ``BLOCK`` documents, Hamming distances rule out all pairs that cannot
-link. First only a spanning forest of the rest is verified on the exact sets; then, with the components that this
-gives, every remaining candidate pair between different components. So no link between components is lost, while links
-inside one need not be listed. Equal sets are merged before, by 128-bit digests.
+link. Where few pairs are left, at most ``FEW`` a document, all are verified on the exact sets, and the list is done. In
+the other, dense lists first only a spanning forest of them is verified; then, with the components that all this gives,
+every remaining candidate pair between different components of a dense list. So no link between components is lost,
+while links inside one need not be listed. Equal sets are merged before, by 128-bit digests.
 
 Null, empty and white texts have size 0 and link with nothing. Rows with equal doc_id are one vertex; rows with a null
 doc_id are returned with a null component. Extra columns are not read.
@@ -41,6 +42,8 @@ from tapewright.llm.graph import components
 
 #: Documents of one list that are compared at once, at most twice as many.
 BLOCK = 512
+#: Pairs a document up to which a list's pairs are all verified at once; the others are dense and are compared twice.
+FEW = 4
 #: Texts that are hashed together.
 TOGETHER = 64
 #: Rows of keys sent to Spark at once.
@@ -220,9 +223,9 @@ def forest(distance: np.ndarray, limit: np.ndarray, comp: np.ndarray) -> list[tu
 
 
 def candidate_pairs(members: DataFrame, base: DataFrame, rule: Rule, every: bool) -> DataFrame:
-    """a, b: pairs of different components that the sketches allow; a spanning forest of them, or ``every`` one.
+    """a, b: pairs of different components that the sketches allow; ``every`` one, or in dense lists a spanning forest of them.
 
-    ``members``: list, size, rep, comp. Lists over ``BLOCK`` are cut into blocks by hash and compared block by block.
+    ``dense`` names such a list in a row without a pair. ``members``: list, size, rep, comp. Lists over ``BLOCK`` are cut into blocks by hash and compared block by block.
     """
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = members.withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), "nb").cast("int"))
@@ -231,7 +234,7 @@ def candidate_pairs(members: DataFrame, base: DataFrame, rule: Rule, every: bool
     sketches = base.where("digest is not null and doc_id is not null").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     rows = cut.join(sketches, "rep").repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2", "rep")
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+    def compare(name: int, group: list[tuple]) -> list[tuple[int | None, int | None, int | None]]:
         ids = np.array([g[0] for g in group])
         comp = np.array([g[1] for g in group])
         size = np.array([g[2] for g in group])
@@ -241,27 +244,26 @@ def candidate_pairs(members: DataFrame, base: DataFrame, rule: Rule, every: bool
         total = size[:, None] + size[None, :]
         limit = np.where(np.minimum(size[:, None], size[None, :]) * rule.den >= np.maximum(size[:, None], size[None, :]) * rule.num, total * (rule.den - rule.num) // (rule.den + rule.num), -1)
         np.fill_diagonal(limit, -1)
-        if every:
-            i, j = np.nonzero(np.triu((distance <= limit) & (comp[:, None] != comp[None, :]), 1))
-        else:
-            found = forest(distance, limit, comp)
-            i, j = (np.array(x, np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        i, j = np.nonzero(np.triu((distance <= limit) & (comp[:, None] != comp[None, :]), 1))
+        dense = not every and len(i) > FEW * len(ids)
+        if dense:
+            i, j = (np.array(x, np.int64) for x in zip(*forest(distance, limit, comp)))
         a, b = ids[i], ids[j]
         keep = a != b
-        return list(zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist()))
+        return [(x, y, None) for x, y in zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist())] + [(None, None, name)] * dense
 
     def make(stream):
         group, last = [], None
         for lst, b1, b2, *row in stream:
             if (lst, b1, b2) != last:
                 if len(group) > 1:
-                    yield from compare(group)
+                    yield from compare(last[0], group)
                 group, last = [], (lst, b1, b2)
             group.append(tuple(row))
         if len(group) > 1:
-            yield from compare(group)
+            yield from compare(last[0], group)
 
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("dense", T.LongType())])
     return arrow_rows(rows, ["list", "b1", "b2", "rep", "comp", "n_shingles", "sketch"], make, schema, rows=50_000).distinct()
 
 
@@ -294,20 +296,22 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     reps = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     nodes = materialize(base.join(reps, "digest", "left").select("doc_id", "n_shingles", "rep"), "nodes")
     met = materialize(lists(docs, nodes, rule), "lists")
-    pairs = materialize(candidate_pairs(met.withColumn("comp", F.col("rep")), base, rule, every=False), "pairs")
+    found = materialize(candidate_pairs(met.withColumn("comp", F.col("rep")), base, rule, every=False), "pairs")
+    pairs = found.where("dense is null").select("a", "b")
     tested = materialize(verified(pairs, docs, rule), "tested")
     # equal ids of different rows tie their representatives together, so that a document is one vertex
     same = nodes.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(nodes.where("doc_id = rep").select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
     links = tested.where("link").select("a", "b").unionByName(same)
     label = materialize(components(links), "labels")
-    known = met.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("list", "size", "rep", F.coalesce("component", "rep").alias("comp"))
+    dense = met.join(found.where("dense is not null").select(F.col("dense").alias("list")), "list", "left_semi")
+    known = dense.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("list", "size", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = known.groupBy("list").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("list")
-    rest = candidate_pairs(known.join(mixed, "list", "left_semi"), base, rule, every=True).join(tested, ["a", "b"], "left_anti")
+    rest = candidate_pairs(known.join(mixed, "list", "left_semi"), base, rule, every=True).select("a", "b").join(tested, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     more = materialize(verified(rest, docs, rule).where("link").select("a", "b"), "more")
     if more.limit(1).count():
         label = materialize(components(links.unionByName(more)), "labels")
-    release(pairs, rest)
+    release(found, rest)
     return nodes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
