@@ -334,6 +334,12 @@ def q_calendar_time(spark, sf):
 # --- event studies ------------------------------------------------------------------------------
 
 
+def excess(part: Column, n: Column, whole: Column, names: Column) -> Column:
+    """Mean of ``n`` of a date's names less that of all ``names``; 0 where these are the same, as sums in another order
+    would leave a rounding error, whose t is arbitrary."""
+    return F.when(n == names, F.when(whole.isNotNull(), 0.0)).otherwise(part - whole)
+
+
 def leg_alpha(ev: DataFrame, res: DataFrame, h: int | Column, least: int, lag: int | Column = 1, by: Sequence[str] = ("side",)) -> DataFrame:
     """Daily mean residual of names with a live window, less the mean of the whole universe, Newey-West at ``h``.
 
@@ -342,7 +348,7 @@ def leg_alpha(ev: DataFrame, res: DataFrame, h: int | Column, least: int, lag: i
     base = res.where("e is not null").groupBy("date").agg(F.avg("e").alias("all"), F.count("*").alias("names")).where(F.col("names") >= least)
     held = A.holding(ev.select("symbol", "i", *by), lag, h).select("symbol", "j", *by).distinct()
     leg = held.join(res.where("e is not null").select("symbol", F.col("i").cast("long").alias("j"), "date", "e"), ["symbol", "j"]).groupBy(*by, "date").agg(F.avg("e").alias("leg"), F.count("*").alias("breadth"))
-    both = leg.join(base, "date").withColumn("x", F.col("leg") - F.col("all"))
+    both = leg.join(base, "date").withColumn("x", excess(F.col("leg"), F.col("breadth"), F.col("all"), F.col("names")))
     fit = ST.newey_west(both, "x", h, list(by)).join(both.groupBy(*by).agg(F.avg("breadth").alias("breadth")), list(by))
     return fit.where("n >= 60").withColumn("car", F.col("mean") * h)
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import series as S
+from tapewright.plans import event_queries as E
 
 
 def frame(spark, closes, volumes=None, symbol="A"):
@@ -104,3 +105,19 @@ def test_nothing_looks_ahead(spark):
         return [tuple(round(y, 9) if isinstance(y, float) else y for y in row) for row in df.orderBy("date").select("rsi", "macd_hist", "atr", "vol", "m", "rv", "sd", "p", "vt").collect()]
 
     assert all_columns(x[:300], v[:300]) == all_columns(x, v)[:300]
+
+
+def universe(spark, names=25, days=100, seed=3):
+    """Residuals of some names, and a filing of either side of each name, so that every leg is the whole universe."""
+    rng = random.Random(seed)
+    rows = [(f"S{k}", i, dt.date(2020, 1, 1) + dt.timedelta(days=i), rng.gauss(0, 0.02)) for i in range(days) for k in range(names)]
+    rng.shuffle(rows)
+    ev = [(f"S{k}", i, side, False, side == "P") for i in range(days) for k in range(names) for side in "PS"]
+    return spark.createDataFrame(ev, "symbol string, i int, side string, plan boolean, cluster boolean").repartition(7), spark.createDataFrame(rows, "symbol string, i int, date date, e double").repartition(5)
+
+
+def test_leg_of_the_whole_universe_has_no_excess(spark):
+    ev, res = universe(spark)
+    assert sorted(tuple(r) for r in E.leg_alpha(ev, res, 21, 10).select("side", "n", "mean", "se", "t", "breadth", "car").collect()) == [(s, 99, 0.0, 0.0, 0.0, 25.0, 0.0) for s in "PS"]
+    some = E.leg_alpha(ev.where("symbol <> 'S3'"), res, 21, 10).collect()
+    assert len(some) == 2 and all(r["se"] > 1e-6 and r["breadth"] == 24 for r in some)
