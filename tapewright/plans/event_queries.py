@@ -363,19 +363,24 @@ def insider_leg(spark, sf):
     return places(places(leg, 6, "mean", "se", "breadth", "car"), 5, "t")
 
 
+def gap_split(ev: DataFrame, bars: DataFrame) -> DataFrame:
+    """Market-adjusted overnight and intraday return of the session after a filing, clustered by date. Without variance, t is null."""
+    on, legs = Window.partitionBy("date"), ("gap", "intraday")
+    g = bars.withColumn("gap", F.ln(X.over(F.col("open"), F.lag("close").over(S.W)))).withColumn("intraday", F.ln(X.over(F.col("close"), F.col("open")))).where("gap is not null")
+    g = g.select("symbol", "i", "date", *legs, *(F.avg(x).over(on).alias(f"{x}_all") for x in legs), *(F.count(x).over(on).alias(f"{x}_names") for x in legs))
+    after = ev.select("symbol", "side", (F.col("i") + 1).alias("i")).join(g, ["symbol", "i"])
+    daily = after.groupBy("side", "date").agg(*(excess(F.avg(x), F.count(x), F.first(f"{x}_all"), F.first(f"{x}_names")).alias(x) for x in legs))
+    t = lambda x: X.over(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count("*"))).alias(f"{x}_t")
+    return daily.groupBy("side").agg(F.avg("gap").alias("gap"), t("gap"), F.avg("intraday").alias("intraday"), t("intraday"), F.count("*").alias("dates"))
+
+
 @query("gap_split", O.sql(O.BARS, O.FILINGS, _ANCHOR, """
 gm AS MATERIALIZED (SELECT symbol, date, i, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS gap, ln(close / open) AS intraday FROM s),
 ga AS MATERIALIZED (SELECT gm.*, gap - avg(gap) OVER (PARTITION BY date) AS xg, intraday - avg(intraday) OVER (PARTITION BY date) AS xi FROM gm WHERE gap IS NOT NULL),
 dm AS (SELECT side, ga.date, avg(xg) AS g, avg(xi) AS d FROM ev JOIN ga ON ga.symbol = ev.symbol AND ga.i = ev.i + 1 GROUP BY ALL)""", body="SELECT side, round(avg(g), 6) AS gap, round(avg(g) / nullif(stddev_samp(g) / sqrt(count(*)), 0), 4) AS gap_t, round(avg(d), 6) AS intraday, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 4) AS intraday_t, count(*) AS dates FROM dm GROUP BY side"))
-def gap_split(spark, sf):
-    """Market-adjusted overnight and intraday return of the session after a filing, clustered by date."""
+def q_gap_split(spark, sf):
     b = prepared(spark, sf)
-    on = Window.partitionBy("date")
-    g = b.withColumn("gap", F.ln(X.over(F.col("open"), F.lag("close").over(S.W)))).withColumn("intraday", F.ln(X.over(F.col("close"), F.col("open")))).where("gap is not null")
-    g = g.withColumn("xg", F.col("gap") - F.avg("gap").over(on)).withColumn("xi", F.col("intraday") - F.avg("intraday").over(on))
-    ev = anchored(T.filings(spark, sf), b).select("symbol", "side", (F.col("i") + 1).alias("i")).join(g.select("symbol", "i", "date", "xg", "xi"), ["symbol", "i"])
-    a, d = ST.clustered(ev, "xg", ["side"]), ST.clustered(ev, "xi", ["side"])
-    return a.select("side", F.round("mean", 6).alias("gap"), F.round("t", 4).alias("gap_t"), "dates").join(d.select("side", F.round("mean", 6).alias("intraday"), F.round("t", 4).alias("intraday_t")), "side")
+    return places(places(gap_split(anchored(T.filings(spark, sf), b), b), 6, "gap", "intraday"), 4, "gap_t", "intraday_t")
 
 
 def sample_dates(bars: DataFrame, h: int, first: int = 273, step: int = 21) -> DataFrame:

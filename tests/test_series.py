@@ -121,3 +121,13 @@ def test_leg_of_the_whole_universe_has_no_excess(spark):
     assert sorted(tuple(r) for r in E.leg_alpha(ev, res, 21, 10).select("side", "n", "mean", "se", "t", "breadth", "car").collect()) == [(s, 99, 0.0, 0.0, 0.0, 25.0, 0.0) for s in "PS"]
     some = E.leg_alpha(ev.where("symbol <> 'S3'"), res, 21, 10).collect()
     assert len(some) == 2 and all(r["se"] > 1e-6 and r["breadth"] == 24 for r in some)
+
+
+def test_gap_of_the_whole_universe_has_no_excess(spark):
+    ev, res = universe(spark)
+    rng = random.Random(4)
+    rows = [(r.symbol, r.i, r.date, 100 * math.exp(rng.gauss(0, 0.02)), 100 * math.exp(rng.gauss(0, 0.02))) for r in res.collect()]
+    bars = spark.createDataFrame(rows, "symbol string, i int, date date, open double, close double").repartition(5)
+    assert sorted(tuple(r) for r in E.gap_split(ev, bars).select("side", "gap", "gap_t", "intraday", "intraday_t", "dates").collect()) == [(s, 0.0, None, 0.0, None, 99) for s in "PS"]
+    some = E.gap_split(ev.where("symbol <> 'S3'"), bars).collect()
+    assert len(some) == 2 and all(abs(r["gap"]) > 1e-7 and r["gap_t"] is not None for r in some)
