@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import series as S
+from tapewright.plans import battery_queries as B
 from tapewright.plans import event_queries as E
 
 
@@ -131,3 +132,9 @@ def test_gap_of_the_whole_universe_has_no_excess(spark):
     assert sorted(tuple(r) for r in E.gap_split(ev, bars).select("side", "gap", "gap_t", "intraday", "intraday_t", "dates").collect()) == [(s, 0.0, None, 0.0, None, 99) for s in "PS"]
     some = E.gap_split(ev.where("symbol <> 'S3'"), bars).collect()
     assert len(some) == 2 and all(abs(r["gap"]) > 1e-7 and r["gap_t"] is not None for r in some)
+
+
+def test_cells_of_the_whole_universe_have_no_excess(spark):
+    ev, res = universe(spark)
+    got = {r["cell"]: (r["n"], r["mean"], r["se"], r["t"], r["breadth"]) for r in B.insider_cells(ev, res, 21, 10).collect()}
+    assert got == {c: (99, 0.0, 0.0, 0.0, 25.0) for c in ("purchases", "discretionary", "clustered", "sales")}
