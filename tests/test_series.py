@@ -138,3 +138,10 @@ def test_cells_of_the_whole_universe_have_no_excess(spark):
     ev, res = universe(spark)
     got = {r["cell"]: (r["n"], r["mean"], r["se"], r["t"], r["breadth"]) for r in B.insider_cells(ev, res, 21, 10).collect()}
     assert got == {c: (99, 0.0, 0.0, 0.0, 25.0) for c in ("purchases", "discretionary", "clustered", "sales")}
+
+
+def test_windows_of_the_whole_universe_have_no_excess(spark):
+    ev, res = universe(spark)
+    got = {(r["side"], r["span"]): (r["n"], r["mean"], r["se"], r["t"], r["breadth"]) for r in B.insider_split(ev, res, 10).collect()}
+    first = {"day 0": 0, "day 1": 1, "days 2-21": 2, "days 2-63": 2}
+    assert got == {(side, span): (100 - at, 0.0, 0.0, 0.0, 25.0) for side in "PS" for span, at in first.items()}
