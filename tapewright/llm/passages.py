@@ -17,7 +17,8 @@ Windows meet by function and minimum.
   passage. Work and rows are linear in the windows, however many documents share a passage.
 * Longer meetings, near passages: a window with no such run around its minimum is compared with all windows of the meeting
   that have none either, and with the first document of each class, by one byte a shingle. Its ``PARTNERS`` best in each
-  block of ``NEAR_BLOCK`` go on to verification on the texts. Meetings of more than ``BIG`` windows are first divided by
+  block of ``NEAR_BLOCK`` go on to verification on the texts; of the others that agree with it all those follow whose
+  interval is not, on both sides, inside passages found by then. Meetings of more than ``BIG`` windows are first divided by
   selected 10-shingle runs around the minimum, of which near passages share one; so what is compared pair by pair
   are windows that share more than a common line. A document with an exact passage in a long meeting is not compared
   further there, so near text that adjoins the passage is not added.
@@ -56,7 +57,7 @@ SIMILAR = 0.8
 HOT, BIG = 4, 1024
 NEAR_BLOCK = 2048
 #: Shingles compared on each side of a minimum, up to SHIFT places apart; the share of two aligned passages of similarity
-#: SIMILAR that agrees; how many agree at least; and partners of a window in a block that are verified.
+#: SIMILAR that agrees; how many agree at least; and partners of a window in a block that are verified first.
 SIDE, SHIFT, SHARE = WIDTH - 1, 2, 2 * SIMILAR / (1 + SIMILAR)
 AGREE, PARTNERS = int(SHARE * WIDTH) - 1, 3
 #: Runs that documents share, and exact passages, (three numbers each) that may be sent to every task; beyond it rows are
@@ -370,19 +371,43 @@ def exact_classes(runs: DataFrame) -> DataFrame:
     return islands(found, ["doc_id", "rep"])
 
 
-def near_partners(rows: DataFrame, exact: DataFrame) -> DataFrame:
+def near_partners(rows: DataFrame, exact: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, d, low, high: the best partners in each block of every window of a long meeting without an exact run around its
-    minimum, among windows without one and those of first documents of a class."""
+    minimum, among windows without one and those of first documents of a class. Where b is null, document a's window under
+    ``gid`` with its minimum at d has more partners. And the windows compared."""
     spans = lambda rep: F.collect_list(F.when(rep, F.struct("low", "high")))
     holds = lambda name: F.coalesce(F.exists(name, lambda s: (s["low"] <= F.col("c")) & (F.col("c") < s["high"] + WIDTH)), F.lit(False))
     found = materialize(exact.groupBy("doc_id").agg(spans(F.lit(True)).alias("every"), spans(F.col("rep")).alias("firsts")), "exact-spans")
     if exact.count() <= BROADCAST_SPANS:
         found = F.broadcast(found)
     marked = rows.join(found, "doc_id", "left").select("gid", "doc_id", "c", "l", "r", "sig", (~holds("every")).cast("int").alias("open"), holds("firsts").alias("first")).where("open = 1 or first")
-    marked = materialize(marked, "long-windows")
+    marked = materialize(marked.drop("first"), "long-windows")
     sizes = marked.groupBy("gid").agg(F.count("*").alias("n"), F.sum("open").alias("u")).where("n > 1 and u > 0")
-    cut = marked.join(sizes, "gid").withColumn("nb", F.ceil(F.col("n") / NEAR_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id", "c"), F.col("nb")).cast("int"))
-    cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("gid", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "doc_id", "c", "l", "r", "open", "sig")
+    return materialize(compared(marked.join(sizes, "gid")), "near"), marked
+
+
+def rest_partners(marked: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame | None:
+    """a, b, d, low, high of the partners that ``near`` has no room for, without those whose interval lies on both sides
+    inside passages ``found`` (merged): they add no words. None, if no window has more partners."""
+    more = materialize(near.where("b is null").select("gid", F.col("a").alias("doc_id"), F.col("d").alias("c")).distinct(), "more")
+    if not more.count():
+        return None
+    gids = materialize(more.select("gid").distinct(), "more-gids")
+    held = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("end_word") - SHINGLE).alias("e"))).alias("held"))
+    around = F.get(F.filter("held", lambda x: (x["s"] <= F.col("c")) & (F.col("c") <= x["e"])), F.lit(0))
+    rows = marked.drop("open").join(maybe_broadcast(gids), "gid").join(more.withColumn("open", F.lit(1)), ["gid", "doc_id", "c"], "left").join(held, "doc_id", "left")
+    rows = rows.withColumn("around", around).select("gid", "doc_id", "c", "l", "r", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce(F.col("c") - F.col("around.s"), F.lit(-1)).alias("kl"), F.coalesce(F.col("around.e") - F.col("c"), F.lit(-1)).alias("kr"), "sig")
+    rows = materialize(rows, "rest-windows")
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"), F.sum("open").alias("u"), F.max((F.col("c") - F.col("l") > F.col("kl")) | (F.col("r") - F.col("c") > F.col("kr"))).alias("bare")).where("n > 1 and u > 0 and bare")
+    return compared(rows.join(sizes.drop("bare"), "gid")).drop("gid").join(near.where("b is not null").select("a", "b", "d"), ["a", "b", "d"], "left_anti")
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """a, b, d, low, high, gid: partners of the open rows among the ``n`` of their gid, by blocks. With columns kl and kr (how
+    far around its minimum a window lies in passages found) all partners that may add to these, otherwise the best."""
+    known = [x for x in ("kl", "kr") if x in rows.columns]
+    cut = rows.withColumn("nb", F.ceil(F.col("n") / NEAR_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id", "c"), F.col("nb")).cast("int"))
+    cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("gid", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "doc_id", "c", "l", "r", "open", "sig", *known)
     dealt = cut.repartition("gid", "b1", "b2").sortWithinPartitions("gid", "b1", "b2", "doc_id", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,27 +426,41 @@ def near_partners(rows: DataFrame, exact: DataFrame) -> DataFrame:
         if held:
             yield from compare_block(held)
 
-    return dealt.mapInArrow(trimmed(run), "a long, b long, d int, low int, high int")
+    return dealt.mapInArrow(trimmed(run), "a long, b long, d int, low int, high int, gid long")
 
 
 def compare_block(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best partners of the open rows of one block (or of two, across)."""
+    """Partners of the open rows of one block (or of two, across), and which rows have more."""
     table = pa.Table.from_batches(parts)
-    b1, b2, own, doc, c, l, r, free = (table.column(k).to_numpy() for k in ("b1", "b2", "own", "doc_id", "c", "l", "r", "open"))
+    gid, b1, b2, own, doc, c, l, r, free = (table.column(k).to_numpy() for k in ("gid", "b1", "b2", "own", "doc_id", "c", "l", "r", "open"))
     if len(doc) < 2 or not free.any():
         return
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(doc), 2 * SIDE + 1)
-    out = []
-    for i, j in best_partners(sig, doc, c, l, r, free, own if b1[0] != b2[0] else None):
-        p, q = (i, j) if doc[i] < doc[j] else (j, i)
-        d = int(c[q] - c[p])
-        out.append((doc[p], doc[q], d, max(l[p], l[q] - d), min(r[p], r[q] - d)))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((list(map(int, x)) for x in zip(*out)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["a", "b", "d", "low", "high"])
+    known = tuple(table.column(k).to_numpy() for k in ("kl", "kr")) if "kl" in table.column_names else None
+    names, out, rows = ["a", "b", "d", "low", "high", "gid"], [], 0
+
+    def send():
+        i, j, more = (np.concatenate(x) for x in zip(*out))
+        p, q = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+        d, none = c[q] - c[p], np.zeros(len(more), np.int32)
+        cols = (np.r_[doc[p], doc[more]], np.r_[doc[q], doc[more]], np.r_[d, c[more]], np.r_[np.maximum(l[p], l[q] - d), none], np.r_[np.minimum(r[p], r[q] - d), none], np.full(len(p) + len(more), gid[0]))
+        mask = np.r_[np.zeros(len(p), bool), np.ones(len(more), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k in "d low high".split() else pa.int64(), mask=mask if k == "b" else None) for k, x in zip(names, cols)], names=names)
+
+    for found in partners(sig, doc, c, l, r, free, own if b1[0] != b2[0] else None, known):
+        out.append(found)
+        rows += len(found[0])
+        if rows >= SEND:
+            yield send()
+            out, rows = [], 0
+    if rows:
+        yield send()
 
 
-def best_partners(sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, free: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """For each open row the PARTNERS others that agree best: in a part of WIDTH shingles or more of which SHARE (less one) agree."""
+def partners(sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, free: np.ndarray, own: np.ndarray | None, known: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of an open row and one that agrees with it in a part of WIDTH shingles or more of which SHARE (less one) agree: the
+    PARTNERS best of each row, and the rows that have more. With ``known`` (how far around its minimum a row lies in
+    passages found) all pairs whose interval is not known on both sides, and no rows. Some pairs at a time."""
     left, right = np.minimum(c - l, SIDE), np.minimum(r - c, SIDE)
     todo, step = np.flatnonzero(free), max(1, PAIRS // len(doc))
     for at in range(0, len(todo), step):
@@ -429,6 +468,9 @@ def best_partners(sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray
         may = (np.minimum(left[i, None], left) + np.minimum(right[i, None], right) + 1 >= WIDTH) & (doc[i, None] != doc)
         if own is not None:
             may &= own[i, None] != own
+        if known is not None:
+            kl, kr = known
+            may &= (np.minimum((c - l)[i, None], c - l) > np.minimum(kl[i, None], kl)) | (np.minimum((r - c)[i, None], r - c) > np.minimum(kr[i, None], kr))
         p, j = np.nonzero(may)
         p = i[p]
         if not len(p):
@@ -446,10 +488,15 @@ def best_partners(sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray
         same &= (place >= -np.minimum(left[p], left[j])[:, None]) & (place <= np.minimum(right[p], right[j])[:, None])
         total = np.concatenate([np.zeros((len(p), 1), np.float32), np.cumsum(same - np.float32(SHARE), axis=1, dtype=np.float32)], axis=1)
         best = (total[:, WIDTH:] - np.minimum.accumulate(total[:, :-WIDTH], axis=1)).max(1)
+        good = best > -1
+        p, j, best = p[good], j[good], best[good]
+        if known is not None:
+            yield p, j, p[:0]
+            continue
         order = np.lexsort((doc[j], -best, p))
-        p, j, best = p[order], j[order], best[order]
+        p, j = p[order], j[order]
         rank = np.arange(len(p)) - np.searchsorted(p, p, "left")
-        yield from ((int(p[k]), int(j[k])) for k in np.flatnonzero((rank < PARTNERS) & (best > -1)))
+        yield p[rank < PARTNERS], j[rank < PARTNERS], p[rank == PARTNERS]
 
 
 def pair_anchors(pairs: DataFrame) -> DataFrame:
@@ -638,12 +685,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     met = materialize(meetings(docs, base.count()), "meetings")
     long = materialize(long_rows(met.where("b is null"), docs), "long")
     exact = materialize(exact_classes(long.where("run").select("gid", "doc_id", "c")), "exact")
-    near = near_partners(long.where("not run").drop("run"), exact)
-    pairs = materialize(pair_anchors(met.where("b is not null").select("a", "b", "d", "low", "high").unionByName(near)), "pairs")
+    near, marked = near_partners(long.where("not run").drop("run"), exact)
+    pairs = materialize(pair_anchors(met.where("b is not null").select("a", "b", "d", "low", "high").unionByName(near.where("b is not null").drop("gid"))), "pairs")
     spans = verified(pairs, docs).unionByName(exact.select("doc_id", "other", F.col("low").alias("start"), (F.col("high") + WORDS).alias("end"), F.lit(True).alias("exact")))
     spans = materialize(spans, "spans")
     release(met, long)
-    own = materialize(merged(spans), "merged").select(F.col("doc_id").alias("rep"), F.col("match_id").alias("other"), F.col("start_word").alias("start"), F.col("end_word").alias("end"), "exact")
+    own = materialize(merged(spans), "merged")
+    rest = rest_partners(marked, near, own)
+    if rest is not None:
+        rest = materialize(pair_anchors(rest), "rest-pairs")
+        own = materialize(merged(spans.unionByName(verified(rest, docs))), "merged-rest")
+    own = own.select(F.col("doc_id").alias("rep"), F.col("match_id").alias("other"), F.col("start_word").alias("start"), F.col("end_word").alias("end"), "exact")
     inherited = nodes.select("doc_id", "rep").join(own, "rep").select("doc_id", "other", "start", "end", "exact")
     copied = nodes.where("copies > 1").select("doc_id", F.when(F.col("doc_id") == F.col("rep"), F.col("last")).otherwise(F.col("rep")).alias("other"), F.lit(0).alias("start"), F.col("n_words").alias("end"), F.lit(True).alias("exact"))
     return merged(inherited.unionByName(copied))

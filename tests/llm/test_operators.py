@@ -573,6 +573,20 @@ def test_families_of_near_copies(spark, monkeypatch, big):
     assert len(near - set(got)) <= 0.01 * len(near), sorted(near - set(got))
 
 
+def test_partners_beyond_the_best(spark):
+    """Two documents with a near passage, each with six others that agree better with it, but in a shorter part."""
+    rows = []
+    for f in range(12):
+        one = prose(58, 4000 + f).split()
+        two = [*one[:29], "edited", *one[30:]]
+        for side, words in enumerate((one, two)):
+            base = 100 * f + 10 * side
+            rows.append((base, " ".join([prose(20, 5000 + base), *words, prose(20, 6000 + base)])))
+            rows += [(base + k, " ".join([prose(20, 5000 + base + k), *words[4:53], prose(20, 6000 + base + k)])) for k in range(1, 7)]
+    got = found_passages(spark, rows)
+    assert all(any(s <= 20 and e >= 78 for s, e in got[100 * f + 10 * side]) for f in range(12) for side in (0, 1))
+
+
 def test_near_passages_beside_exact_runs():
     hashes = lambda words: text_shingles(" ".join(words), 5)
     w = [f"w{k}" for k in range(110)]
