@@ -16,9 +16,10 @@ Windows meet by function and minimum.
   shingles that its windows stand for is hashed; documents with an equal run form a class, and each gets the run as a
   passage. Work and rows are linear in the windows, however many documents share a passage.
 * Longer meetings, near passages: a window with no such run around its minimum is compared with all windows of the meeting
-  that have none either, and with the first document of each class, by one byte a shingle. Its ``PARTNERS`` best in each
-  block of ``NEAR_BLOCK`` go on to verification on the texts; of the others that agree with it all those follow whose
-  interval is not, on both sides, inside passages found by then. Meetings of more than ``BIG`` windows are first divided by
+  that have none either, and with the first document of each class, by two bytes a shingle. In each block of
+  ``NEAR_BLOCK`` so many partners of it go on to verification on the texts that they share with it, within SIDE shingles of
+  its minimum, whatever any partner shares. Where the texts do not bear that out, all others follow that share
+  more than lies in passages found by then. Meetings of more than ``BIG`` windows are first divided by
   selected 10-shingle runs around the minimum, of which near passages share one; so what is compared pair by pair
   are windows that share more than a common line. A document with an exact passage in a long meeting is not compared
   further there, so near text that adjoins the passage is not added.
@@ -57,9 +58,9 @@ SIMILAR = 0.8
 HOT, BIG = 4, 1024
 NEAR_BLOCK = 2048
 #: Shingles compared on each side of a minimum, up to SHIFT places apart; the share of two aligned passages of similarity
-#: SIMILAR that agrees; how many agree at least; and partners of a window in a block that are verified first.
-SIDE, SHIFT, SHARE = WIDTH - 1, 2, 2 * SIMILAR / (1 + SIMILAR)
-AGREE, PARTNERS = int(SHARE * WIDTH) - 1, 3
+#: SIMILAR that agrees; and how many agree at least.
+SIDE, SHIFT, SHARE = WIDTH - 1, 2, 2 * SIMILAR / (1 + SIMILAR)  # 8 of 9
+AGREE, AROUND = int(SHARE * WIDTH) - 1, 2 * SIDE + 1
 #: Runs that documents share, and exact passages, (three numbers each) that may be sent to every task; beyond it rows are
 #: shuffled by run, and windows by document.
 BROADCAST_SPANS = 500_000
@@ -302,7 +303,8 @@ LONG = "run boolean, gid long, doc_id long, c int, l int, r int, sig binary"
 
 def long_rows(hot: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the windows of long meetings: run, gid, doc_id, c: a row for each run of WIDTH shingles at c, with its hash; and
-    (not run) a row for each window under its key, or under key and selected run in large meetings, with SIDE bytes a side."""
+    (not run) a row for each window under its key, or under key and selected run in large meetings, with SIDE shingles a side,
+    a byte of each and then another of each."""
     listed = hot.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set(F.struct("key", F.col("d").alias("c"), F.col("low").alias("l"), F.col("high").alias("r"), "n")).alias("ws"))
     both = docs.select("doc_id", "text").join(listed, "doc_id")
 
@@ -312,7 +314,7 @@ def long_rows(hot: DataFrame, docs: DataFrame) -> DataFrame:
         def send():
             run, gid, doc, c, l, r = (np.concatenate(x) for x in list(zip(*held))[:6])
             sig = np.concatenate([x[6] for x in held]).tobytes()
-            ends = np.r_[0, np.cumsum(np.where(run, 0, 2 * SIDE + 1))].astype(np.int32)
+            ends = np.r_[0, np.cumsum(np.where(run, 0, 2 * AROUND))].astype(np.int32)
             sig = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sig)])
             return pa.RecordBatch.from_arrays([pa.array(run), pa.array(gid.view(np.int64)), *map(pa.array, (doc, c, l, r)), sig], names=["run", "gid", "doc_id", "c", "l", "r", "sig"])
 
@@ -336,15 +338,15 @@ def long_rows(hot: DataFrame, docs: DataFrame) -> DataFrame:
                     stood = np.cumsum(step[:-1]) > 0
                     pos = np.flatnonzero(np.isin(runs, runs[stood]) if len(np.unique(runs)) < len(runs) else stood)
                     none = np.zeros(len(pos), np.int32)
-                    held.append((np.ones(len(pos), bool), runs[pos], np.full(len(pos), doc_id, np.int64), pos.astype(np.int32), none, none, np.empty((0, 2 * SIDE + 1), np.uint8)))
-                    around = np.lib.stride_tricks.sliding_window_view(np.pad((h & np.uint64(255)).astype(np.uint8), SIDE), 2 * SIDE + 1)
+                    held.append((np.ones(len(pos), bool), runs[pos], np.full(len(pos), doc_id, np.int64), pos.astype(np.int32), none, none, np.empty((0, 2 * AROUND), np.uint8)))
+                    around = np.lib.stride_tricks.sliding_window_view(np.pad(h.astype(np.uint16).view(np.uint8).reshape(-1, 2), ((SIDE, SIDE), (0, 0))), AROUND, 0)
                     which, gid = np.flatnonzero(n <= BIG), [key[n <= BIG]]
                     which = [which]
                     for m in np.flatnonzero(n > BIG):
                         own = mix64(key[m] ^ selected_runs(h, max(l[m], c[m] - SIDE), min(r[m], c[m] + SIDE)))
                         gid.append(own), which.append(np.full(len(own), m))
                     which = np.concatenate(which)
-                    held.append((np.zeros(len(which), bool), np.concatenate(gid), np.full(len(which), doc_id, np.int64), *(y[which].astype(np.int32) for y in (c, l, r)), around[c[which]]))
+                    held.append((np.zeros(len(which), bool), np.concatenate(gid), np.full(len(which), doc_id, np.int64), *(y[which].astype(np.int32) for y in (c, l, r)), around[c[which]].reshape(-1, 2 * AROUND)))
                     size += len(pos) + 4 * len(which)
                     if size >= SEND:
                         yield send()
@@ -372,9 +374,10 @@ def exact_classes(runs: DataFrame) -> DataFrame:
 
 
 def near_partners(rows: DataFrame, exact: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b, d, low, high: the best partners in each block of every window of a long meeting without an exact run around its
-    minimum, among windows without one and those of first documents of a class. Where b is null, document a's window under
-    ``gid`` with its minimum at d has more partners. And the windows compared."""
+    """a, b, d, low, high: partners in each block of every window of a long meeting without an exact run around its minimum,
+    among windows without one and those of first documents of a class; so many that they share with it whatever any partner
+    does. Where b is null, document a's window under ``gid`` with its minimum at d has other partners too, and what they
+    share lies in low..high. And the windows compared."""
     spans = lambda rep: F.collect_list(F.when(rep, F.struct("low", "high")))
     holds = lambda name: F.coalesce(F.exists(name, lambda s: (s["low"] <= F.col("c")) & (F.col("c") < s["high"] + WIDTH)), F.lit(False))
     found = materialize(exact.groupBy("doc_id").agg(spans(F.lit(True)).alias("every"), spans(F.col("rep")).alias("firsts")), "exact-spans")
@@ -387,69 +390,72 @@ def near_partners(rows: DataFrame, exact: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def rest_partners(marked: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame | None:
-    """a, b, d, low, high of the partners that ``near`` has no room for, without those whose interval lies on both sides
-    inside passages ``found`` (merged): they add no words. None, if no window has more partners."""
-    more = materialize(near.where("b is null").select("gid", F.col("a").alias("doc_id"), F.col("d").alias("c")).distinct(), "more")
+    """a, b, d, low, high of the other partners of windows that share more with them than lies in passages ``found`` (merged),
+    as not all that the partners in ``near`` share by bytes was verified. None, if there are no such windows."""
+    held = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("end_word") - SHINGLE).alias("e"))).alias("held"))
+    more = near.where("b is null").select("gid", F.col("a").alias("doc_id"), F.col("d").alias("c"), "low", "high").join(held, "doc_id", "left")
+    inside = F.exists("held", lambda x: (x["s"] <= F.col("low")) & (F.col("high") <= x["e"]))
+    more = materialize(more.where(~F.coalesce(inside, F.lit(False))).select("gid", "doc_id", "c").distinct(), "more")
     if not more.count():
         return None
-    gids = materialize(more.select("gid").distinct(), "more-gids")
-    held = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("s"), (F.col("end_word") - SHINGLE).alias("e"))).alias("held"))
     around = F.get(F.filter("held", lambda x: (x["s"] <= F.col("c")) & (F.col("c") <= x["e"])), F.lit(0))
-    rows = marked.drop("open").join(maybe_broadcast(gids), "gid").join(more.withColumn("open", F.lit(1)), ["gid", "doc_id", "c"], "left").join(held, "doc_id", "left")
-    rows = rows.withColumn("around", around).select("gid", "doc_id", "c", "l", "r", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce(F.col("c") - F.col("around.s"), F.lit(-1)).alias("kl"), F.coalesce(F.col("around.e") - F.col("c"), F.lit(-1)).alias("kr"), "sig")
+    rows = marked.join(maybe_broadcast(materialize(more.select("gid").distinct(), "more-gids")), "gid").join(maybe_broadcast(more.withColumn("want", F.lit(1))), ["gid", "doc_id", "c"], "left").join(held, "doc_id", "left")
+    rows = rows.withColumn("around", around).select("gid", "doc_id", "c", "l", "r", "open", F.coalesce("want", F.lit(0)).alias("want"), F.coalesce(F.col("c") - F.col("around.s"), F.lit(-1)).alias("kl"), F.coalesce(F.col("around.e") - F.col("c"), F.lit(-1)).alias("kr"), "sig")
     rows = materialize(rows, "rest-windows")
-    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"), F.sum("open").alias("u"), F.max((F.col("c") - F.col("l") > F.col("kl")) | (F.col("r") - F.col("c") > F.col("kr"))).alias("bare")).where("n > 1 and u > 0 and bare")
-    return compared(rows.join(sizes.drop("bare"), "gid")).drop("gid").join(near.where("b is not null").select("a", "b", "d"), ["a", "b", "d"], "left_anti")
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"))
+    return compared(rows.join(sizes, "gid")).drop("gid").join(near.where("b is not null").select("a", "b", "d"), ["a", "b", "d"], "left_anti")
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """a, b, d, low, high, gid: partners of the open rows among the ``n`` of their gid, by blocks. With columns kl and kr (how
-    far around its minimum a window lies in passages found) all partners that may add to these, otherwise the best."""
-    known = [x for x in ("kl", "kr") if x in rows.columns]
+    """a, b, d, low, high, gid: partners of the open rows among the ``n`` of their gid, by blocks. With columns want, kl and kr
+    (how far around its minimum a window lies in passages found) all partners that may add to a row that wants them."""
+    known = [x for x in ("want", "kl", "kr") if x in rows.columns]
     cut = rows.withColumn("nb", F.ceil(F.col("n") / NEAR_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id", "c"), F.col("nb")).cast("int"))
     cut = cut.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("gid", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "doc_id", "c", "l", "r", "open", "sig", *known)
     dealt = cut.repartition("gid", "b1", "b2").sortWithinPartitions("gid", "b1", "b2", "doc_id", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        held, rows, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
-                if last is not None and (ids[low] != last).any():
-                    yield from compare_block(held)
-                    held = []
-                last = ids[low]
-                held.append(batch.slice(int(low), int(high - low)))
+            if rows >= NEAR_BLOCK:  # compare whole blocks, and keep the last, which may go on
+                new = np.flatnonzero((ids != np.concatenate([last, ids[:-1]])).any(1))
+                if len(new):
+                    yield from compare_blocks([*held, batch.slice(0, int(new[-1]))])
+                    held, rows, batch = [], 0, batch.slice(int(new[-1]))
+            held.append(batch)
+            rows, last = rows + batch.num_rows, ids[-1:]
         if held:
-            yield from compare_block(held)
+            yield from compare_blocks(held)
 
     return dealt.mapInArrow(trimmed(run), "a long, b long, d int, low int, high int, gid long")
 
 
-def compare_block(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partners of the open rows of one block (or of two, across), and which rows have more."""
+def compare_blocks(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partners of the rows of whole blocks (or pairs of blocks, across), and what rows share that have more."""
     table = pa.Table.from_batches(parts)
     gid, b1, b2, own, doc, c, l, r, free = (table.column(k).to_numpy() for k in ("gid", "b1", "b2", "own", "doc_id", "c", "l", "r", "open"))
-    if len(doc) < 2 or not free.any():
+    known = tuple(table.column(k).to_numpy() for k in ("want", "kl", "kr")) if "kl" in table.column_names else None
+    if len(doc) < 2:
         return
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(doc), 2 * SIDE + 1)
-    known = tuple(table.column(k).to_numpy() for k in ("kl", "kr")) if "kl" in table.column_names else None
+    first = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
+    size = np.diff(np.r_[first, len(doc)])
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(doc), 2 * AROUND)
     names, out, rows = ["a", "b", "d", "low", "high", "gid"], [], 0
 
     def send():
-        i, j, more = (np.concatenate(x) for x in zip(*out))
+        i, j, more, low, high = (np.concatenate(x) for x in zip(*out))
         p, q = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
-        d, none = c[q] - c[p], np.zeros(len(more), np.int32)
-        cols = (np.r_[doc[p], doc[more]], np.r_[doc[q], doc[more]], np.r_[d, c[more]], np.r_[np.maximum(l[p], l[q] - d), none], np.r_[np.minimum(r[p], r[q] - d), none], np.full(len(p) + len(more), gid[0]))
+        d = c[q] - c[p]
+        cols = (np.r_[doc[p], doc[more]], np.r_[doc[q], doc[more]], np.r_[d, c[more]], np.r_[np.maximum(l[p], l[q] - d), c[more] + low], np.r_[np.minimum(r[p], r[q] - d), c[more] + high], np.r_[gid[p], gid[more]])
         mask = np.r_[np.zeros(len(p), bool), np.ones(len(more), bool)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k in "d low high".split() else pa.int64(), mask=mask if k == "b" else None) for k, x in zip(names, cols)], names=names)
 
-    for found in partners(sig, doc, c, l, r, free, own if b1[0] != b2[0] else None, known):
+    for found in partners(np.repeat(first, size), np.repeat(size, size), sig, doc, c, l, r, free, np.where(b1 != b2, own, -1), known):
         out.append(found)
-        rows += len(found[0])
+        rows += len(found[0]) + len(found[2])
         if rows >= SEND:
             yield send()
             out, rows = [], 0
@@ -457,46 +463,108 @@ def compare_block(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def partners(sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, free: np.ndarray, own: np.ndarray | None, known: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of an open row and one that agrees with it in a part of WIDTH shingles or more of which SHARE (less one) agree: the
-    PARTNERS best of each row, and the rows that have more. With ``known`` (how far around its minimum a row lies in
-    passages found) all pairs whose interval is not known on both sides, and no rows. Some pairs at a time."""
+def agreement(sig: np.ndarray, p: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether each shingle around rows ``p`` stands around row j, up to SHIFT places apart."""
+    x, y = sig[p], sig[j]
+    same = x == y
+    for k in range(1, SHIFT + 1):
+        same[:, k:] |= x[:, k:] == y[:, :-k]
+        same[:, :-k] |= x[:, :-k] == y[:, k:]
+    return same
+
+
+def running(step: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """``step.accumulate`` along the first axis in place, a whole row at once."""
+    for before, now in zip(x, x[1:]):
+        step(before, now, out=now)
+    return x
+
+
+def in_parts(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By how much the best part of WIDTH shingles or more exceeds SHARE (times 9); and which agreeing shingles lie in such
+    parts that reach SHARE, or in the best, positions first. All such parts hold the middle."""
+    flat = np.ascontiguousarray(same.T)
+    total = np.zeros((AROUND + 1, len(same)), np.int16)
+    np.multiply(flat, 9, out=total[1:])
+    total[1:] -= 8
+    running(np.add, total)
+    ends = total[WIDTH:] - running(np.minimum, total[:WIDTH].copy())  # of the best parts with each end
+    starts = running(np.maximum, total[:SIDE:-1].copy())[::-1] - total[:WIDTH]
+    best = ends.max(0)
+    need = np.minimum(best, 0)
+    flat[:SIDE] &= running(np.maximum, starts)[:SIDE] >= need
+    flat[SIDE:] &= running(np.maximum, ends[::-1])[::-1] >= need
+    return best, flat
+
+
+def partners(first: np.ndarray, size: np.ndarray, sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, free: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of a row and one of its block (``size`` rows from ``first``), one of them open, that agree in a part of WIDTH
+    shingles or more of which SHARE (less one) agree: for each row the partner that agrees best, others until every shingle
+    that some partner shares is shared by one of them, those that may reach farthest, and of partners that agree less by
+    one those that share more; then the rows that have more partners, and the first and last shingle that they share, from
+    the minimum. With ``known`` (which rows want partners, and how far around its minimum a row lies in passages found) all
+    pairs that share a shingle beyond that, and no rows. Some pairs at a time."""
     left, right = np.minimum(c - l, SIDE), np.minimum(r - c, SIDE)
-    todo, step = np.flatnonzero(free), max(1, PAIRS // len(doc))
-    for at in range(0, len(todo), step):
-        i = todo[at : at + step]
-        may = (np.minimum(left[i, None], left) + np.minimum(right[i, None], right) + 1 >= WIDTH) & (doc[i, None] != doc)
-        if own is not None:
-            may &= own[i, None] != own
+    place = np.arange(AROUND) - SIDE
+    thin, wide = np.ascontiguousarray(sig[:, :AROUND]), sig[:, :AROUND] | sig[:, AROUND:].astype(np.uint16) << 8
+    some = np.maximum.reduceat(free, np.unique(first))[np.cumsum(np.r_[False, first[1:] != first[:-1]])] if known is None else known[0]
+    todo = np.flatnonzero((some > 0) & (size > 1))
+    upto = np.cumsum(size[todo])
+    while len(todo):
+        step = max(1, int(np.searchsorted(upto, PAIRS, "right")))
+        i, todo, upto = todo[:step], todo[step:], upto[step:] - upto[step - 1]
+        p = np.repeat(np.arange(len(i)), size[i])
+        j = np.arange(len(p)) + np.repeat(first[i] - np.r_[0, np.cumsum(size[i])[:-1]], size[i])
+        x = i[p]
+        may = ((free[x] | free[j]) > 0) & (doc[x] != doc[j]) & ((own[x] < 0) | (own[x] != own[j]))
+        back, ahead = np.minimum(left[x], left[j]), np.minimum(right[x], right[j])
+        may &= back + ahead + 1 >= WIDTH
         if known is not None:
-            kl, kr = known
-            may &= (np.minimum((c - l)[i, None], c - l) > np.minimum(kl[i, None], kl)) | (np.minimum((r - c)[i, None], r - c) > np.minimum(kr[i, None], kr))
-        p, j = np.nonzero(may)
-        p = i[p]
+            _, kl, kr = known
+            may &= (back > kl[x]) | (ahead > kr[x])
+        p, j = p[may], j[may]
         if not len(p):
             continue
-        x, y = sig[p], sig[j]
-        same = x == y
-        for k in range(1, SHIFT + 1):
-            same[:, k:] |= x[:, k:] == y[:, :-k]
-            same[:, :-k] |= x[:, :-k] == y[:, k:]
-        some = np.flatnonzero(same.sum(1, dtype=np.uint8) >= AGREE)
+        some = np.flatnonzero(agreement(thin, i[p], j).sum(1, dtype=np.uint8) >= AGREE)
         if not len(some):
             continue
-        p, j, same = p[some], j[some], same[some]
-        place = np.arange(2 * SIDE + 1) - SIDE
+        row, j = p[some], j[some]
+        p = i[row]
+        same = agreement(wide, p, j)
         same &= (place >= -np.minimum(left[p], left[j])[:, None]) & (place <= np.minimum(right[p], right[j])[:, None])
-        total = np.concatenate([np.zeros((len(p), 1), np.float32), np.cumsum(same - np.float32(SHARE), axis=1, dtype=np.float32)], axis=1)
-        best = (total[:, WIDTH:] - np.minimum.accumulate(total[:, :-WIDTH], axis=1)).max(1)
-        good = best > -1
-        p, j, best = p[good], j[good], best[good]
+        best, shared = in_parts(same)
+        good = best > (-18 if known is None else -9)
         if known is not None:
-            yield p, j, p[:0]
+            good &= (shared & ((place[:, None] < -kl[p]) | (place[:, None] > kr[p]))).any(0)
+            yield p[good], j[good], p[:0], p[:0], p[:0]
             continue
-        order = np.lexsort((doc[j], -best, p))
-        p, j = p[order], j[order]
-        rank = np.arange(len(p)) - np.searchsorted(p, p, "left")
-        yield p[rank < PARTNERS], j[rank < PARTNERS], p[rank == PARTNERS]
+        order = np.lexsort((doc[j], -best, row))
+        order = order[good[order]]
+        row, p, j, shared = row[order], p[order], j[order], np.ascontiguousarray(shared[:, order].T)
+        weak = best[order] <= -9
+        covered, claimed = np.zeros((2, len(i), AROUND), bool)
+        taken, left_of = [], np.arange(len(row))
+        pick = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        while len(pick):
+            taken.append(left_of[pick])
+            covered[row[taken[-1]]] |= shared[taken[-1]]
+            claimed[row[taken[-1]]] |= shared[taken[-1]] & ~weak[taken[-1]][:, None]
+            gain = (shared[left_of] & ~covered[row[left_of]]).sum(1)
+            left_of, gain = left_of[gain > 0], gain[gain > 0]
+            most = np.lexsort((-gain, weak[left_of], row[left_of]))
+            pick = most[np.r_[True, np.diff(row[left_of][most]) > 0][: len(most)]]
+        if taken:
+            taken = np.concatenate(taken)
+            for ends, reach in ((slice(0, SHINGLE), c - l), (slice(-SHINGLE, None), r - c)):  # beyond the bytes
+                far = np.where(shared[:, ends].any(1), np.minimum(reach[p], reach[j]), 0)
+                have = np.full(len(i), SIDE)
+                np.maximum.at(have, row[taken], far[taken])
+                beyond = np.flatnonzero(far > have[row])
+                most = beyond[np.lexsort((-far[beyond], row[beyond]))]
+                taken = np.r_[taken, most[np.r_[True, np.diff(row[most]) > 0][: len(most)]]]
+            many = np.bincount(row[~weak], minlength=len(i)) - np.bincount(row[taken][~weak[taken]], minlength=len(i))
+            more = np.flatnonzero(many > 0)
+            yield p[taken], j[taken], i[more], claimed[more].argmax(1) - SIDE, SIDE - claimed[more][:, ::-1].argmax(1)
 
 
 def pair_anchors(pairs: DataFrame) -> DataFrame:

@@ -587,6 +587,21 @@ def test_partners_beyond_the_best(spark):
     assert all(any(s <= 20 and e >= 78 for s, e in got[100 * f + 10 * side]) for f in range(12) for side in (0, 1))
 
 
+def test_pairs_of_a_large_family(spark, monkeypatch):
+    """Near copies of a passage in different texts: all are found, by a number of pairs that doesn't grow with its square."""
+    words, pairs = prose(90, 7000).split(), []
+
+    def counted(some, docs, verified=passages.verified):
+        pairs.append(some.count())
+        return verified(some, docs)
+
+    monkeypatch.setattr(passages, "verified", counted)
+    rows = [(k, " ".join([prose(30, 7100 + k), *words[:44], f"edit{k}", *words[45:], prose(30, 7300 + k)])) for k in range(120)]
+    got = found_passages(spark, rows)
+    assert all(any(s <= 30 and e >= 120 for s, e in got[k]) for k in range(120))
+    assert sum(pairs) <= 12 * 120, pairs
+
+
 def test_near_passages_beside_exact_runs():
     hashes = lambda words: text_shingles(" ".join(words), 5)
     w = [f"w{k}" for k in range(110)]
