@@ -17,7 +17,7 @@ Windows meet by function and minimum.
   passage. Work and rows are linear in the windows, however many documents share a passage.
 * Longer meetings, near passages: a window with no such run around its minimum is compared with all windows of the meeting
   that have none either, and with the first document of each class, by two bytes a shingle. In each block of
-  ``NEAR_BLOCK`` so many partners of it go on to verification on the texts that they share with it, within SIDE shingles of
+  ``NEAR_BLOCK`` its ``PARTNERS`` best and so many others go on to verification on the texts that they share with it, within SIDE shingles of
   its minimum, whatever any partner shares. Where the texts do not bear that out, all others follow that share
   more than lies in passages found by then. Meetings of more than ``BIG`` windows are first divided by
   selected 10-shingle runs around the minimum, of which near passages share one; so what is compared pair by pair
@@ -58,9 +58,9 @@ SIMILAR = 0.8
 HOT, BIG = 4, 1024
 NEAR_BLOCK = 2048
 #: Shingles compared on each side of a minimum, up to SHIFT places apart; the share of two aligned passages of similarity
-#: SIMILAR that agrees; and how many agree at least.
+#: SIMILAR that agrees; how many agree at least; and partners of a window in a block that are verified whatever they share.
 SIDE, SHIFT, SHARE = WIDTH - 1, 2, 2 * SIMILAR / (1 + SIMILAR)  # 8 of 9
-AGREE, AROUND = int(SHARE * WIDTH) - 1, 2 * SIDE + 1
+AGREE, AROUND, PARTNERS = int(SHARE * WIDTH) - 1, 2 * SIDE + 1, 3
 #: Runs that documents share, and exact passages, (three numbers each) that may be sent to every task; beyond it rows are
 #: shuffled by run, and windows by document.
 BROADCAST_SPANS = 500_000
@@ -499,7 +499,7 @@ def in_parts(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def partners(first: np.ndarray, size: np.ndarray, sig: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, free: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of a row and one of its block (``size`` rows from ``first``), one of them open, that agree in a part of WIDTH
-    shingles or more of which SHARE (less one) agree: for each row the partner that agrees best, others until every shingle
+    shingles or more of which SHARE (less one) agree: for each row the PARTNERS that agree best, others until every shingle
     that some partner shares is shared by one of them, those that may reach farthest, and of partners that agree less by
     one those that share more; then the rows that have more partners, and the first and last shingle that they share, from
     the minimum. With ``known`` (which rows want partners, and how far around its minimum a row lies in passages found) all
@@ -544,11 +544,12 @@ def partners(first: np.ndarray, size: np.ndarray, sig: np.ndarray, doc: np.ndarr
         weak = best[order] <= -9
         covered, claimed = np.zeros((2, len(i), AROUND), bool)
         taken, left_of = [], np.arange(len(row))
-        pick = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        pick = np.flatnonzero((rank == 0) | (rank < PARTNERS) & ~weak)
         while len(pick):
             taken.append(left_of[pick])
-            covered[row[taken[-1]]] |= shared[taken[-1]]
-            claimed[row[taken[-1]]] |= shared[taken[-1]] & ~weak[taken[-1]][:, None]
+            np.logical_or.at(covered, row[taken[-1]], shared[taken[-1]])
+            np.logical_or.at(claimed, row[taken[-1]], shared[taken[-1]] & ~weak[taken[-1]][:, None])
             gain = (shared[left_of] & ~covered[row[left_of]]).sum(1)
             left_of, gain = left_of[gain > 0], gain[gain > 0]
             most = np.lexsort((-gain, weak[left_of], row[left_of]))
